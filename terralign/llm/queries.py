@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, near_dedup, quality, secrets
+from . import bpe, exact_dedup, langid, mixing, near_dedup, passages, quality, quotes, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select("doc_id", "lang", F.col("n").alias("n_characters"), "perplexity", "limit", "accepted")
@@ -37,6 +41,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.resolve(_documents(spark, sf_dir), words=4, percent=80)
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(_documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve(_documents(spark, sf_dir))
 
@@ -97,7 +105,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_source_mix": op3_source_mix, "op5_quality": op5_quality, "op7_near_dedup": op7_near_dedup, "op9_exact_dedup": op9_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_source_mix": op3_source_mix, "op4_quote_links": op4_quote_links, "op5_quality": op5_quality, "op7_near_dedup": op7_near_dedup, "op8_repeated_passages": op8_repeated_passages, "op9_exact_dedup": op9_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
