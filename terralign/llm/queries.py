@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mixing, near_dedup, passages, quality, quotes, secrets
+from . import bpe, exact_dedup, langid, mixing, near_dedup, passages, quality, quotes, search, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "lang", F.col("n").alias("n_characters"), "perplexity", "limit", "accepted")
 
 
+def op6_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 asks for its ten best among all documents."""
+    return search.top_k(_documents(spark, sf_dir), F.col("doc_id") % 20 == 0, k=10)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.resolve(_documents(spark, sf_dir), words=4, percent=80)
 
@@ -105,7 +110,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_source_mix": op3_source_mix, "op4_quote_links": op4_quote_links, "op5_quality": op5_quality, "op7_near_dedup": op7_near_dedup, "op8_repeated_passages": op8_repeated_passages, "op9_exact_dedup": op9_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
+    return {"op1_language_id": op1_language_id, "op2_secret_scan": op2_secret_scan, "op3_source_mix": op3_source_mix, "op4_quote_links": op4_quote_links, "op5_quality": op5_quality, "op6_top_k_search": op6_top_k_search, "op7_near_dedup": op7_near_dedup, "op8_repeated_passages": op8_repeated_passages, "op9_exact_dedup": op9_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
