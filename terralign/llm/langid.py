@@ -14,7 +14,6 @@ nothing; without any training row every prediction is `und`. Ties go to the lang
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,9 +26,14 @@ from .common import cut
 DIMS, SAMPLE, CENTROIDS, ROUNDS, MARGIN = 4096, 1000, 4, 12, 0.05
 
 
-@cache
+_MEMO: dict[str, np.ndarray] = {}
+
+
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    """Which code points are letters; made once per process."""
+    if "letters" not in _MEMO:
+        _MEMO["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return _MEMO["letters"]
 
 
 def counts(text: str) -> np.ndarray:

@@ -9,7 +9,10 @@ from . import bpe, exact_dedup, langid, mixing, near_dedup, passages, quality, q
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table; one that is read in fewer partitions than there are cores is dealt out first, as work on texts is long."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
