@@ -88,14 +88,15 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     tied = parsed.select(*key, "role", own_text(F.col("lines")).alias("text")).join(chosen, key, "left").join(before, key, "left").join(tally, key, "left")
     tied = cut(tied.select(*key, "role", "text", F.coalesce("source", "before").alias("reply"), F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")))
 
-    up = tied.select(*key, F.coalesce("reply", F.struct(*key)).alias("top"), F.col("reply").isNotNull().cast("long").alias("depth"))
+    # Pointers jump until they reach a root; rows that are there already are joined no more.
+    up = tied.select(*key, F.coalesce("reply", F.struct(*key)).alias("top"), F.col("reply").isNotNull().cast("long").alias("depth"), F.col("reply").isNotNull().alias("open"))
     while True:
         above = up.select(F.struct(*key).alias("top"), F.col("top").alias("higher"), F.col("depth").alias("more"))
-        up = cut(up.join(above, "top").select(*key, F.col("higher").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")))
-        if up.filter("moved").isEmpty():
+        moved = up.filter("open").join(above, "top").select(*key, F.col("higher").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("open"))
+        up = cut(moved.unionByName(up.filter("NOT open")))
+        if up.filter("open").isEmpty():
             break
-        up = up.drop("moved")
-    out = tied.join(up, key).select(*key, "role", F.col("reply.conv_id").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"), F.col("top.conv_id").alias("root_conv"), F.col("top.turn").alias("root_turn"), "depth", "n_quoted", "n_linked", "text")
+    out = tied.join(up.drop("open"), key).select(*key, "role", F.col("reply.conv_id").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"), F.col("top.conv_id").alias("root_conv"), F.col("top.turn").alias("root_turn"), "depth", "n_quoted", "n_linked", "text")
     lines = lines_of(F.col("text"))
     lone = alone.select("conv_id", "turn", "role", F.lit(None).cast(out.schema["reply_conv"].dataType).alias("reply_conv"), F.lit(None).cast(out.schema["reply_turn"].dataType).alias("reply_turn"), F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("n_quoted"), F.lit(0).cast("long").alias("n_linked"), own_text(lines).alias("text"))
     return out.unionByName(lone)
