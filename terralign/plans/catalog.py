@@ -337,15 +337,17 @@ def _(spark, sf_dir):
 
 @query(
     "hamming_match",
-    """WITH e AS (SELECT ('x' || 0)::VARCHAR AS z, source AS frame, doc_id AS kp, ('0x' || substr(md5(text), 1, 15))::BIGINT AS v FROM documents WHERE source IN ('src1', 'src2')),
-    d AS (SELECT a.kp AS query, b.kp AS train, bit_count(xor(a.v, b.v))::BIGINT AS d FROM e a JOIN e b ON a.frame = 'src1' AND b.frame = 'src2'),
-    k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, train) AS k FROM d)
-    SELECT 'src1' AS source_id, 'src2' AS target_id, query, max(train) FILTER (k = 1) AS best, max(d) FILTER (k = 1) AS d1, max(d) FILTER (k = 2) AS d2 FROM k WHERE k <= 2 GROUP BY query""",
+    """WITH o AS (SELECT source, lead(source) OVER (ORDER BY source) AS next FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+    e AS (SELECT source, doc_id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS v FROM documents),
+    d AS (SELECT o.source AS source_id, o.next AS target_id, a.doc_id AS query, b.doc_id AS train, bit_count(xor(a.v, b.v))::BIGINT AS d FROM o JOIN e a ON a.source = o.source JOIN e b ON b.source = o.next),
+    k AS (SELECT *, row_number() OVER (PARTITION BY source_id, query ORDER BY d, train) AS k FROM d)
+    SELECT source_id, target_id, query, max(train) FILTER (k = 1) AS best, max(d) FILTER (k = 1) AS d1, max(d) FILTER (k = 2) AS d2 FROM k WHERE k <= 2 GROUP BY ALL""",
 )
 def _(spark, sf_dir):
     bits = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")
-    f = table(spark, sf_dir, "documents").filter(F.col("source").isin("src1", "src2")).select(F.col("source").alias("frame"), F.col("doc_id").alias("kp"), F.array(bits).alias("desc"))
-    pairs = spark.createDataFrame([("src1", "src2")], "source_id string, target_id string")
+    f = table(spark, sf_dir, "documents").select(F.col("source").alias("frame"), F.col("doc_id").alias("kp"), F.array(bits).alias("desc"))
+    frames = f.select("frame").distinct().filter("frame IS NOT NULL")
+    pairs = frames.select(F.col("frame").alias("source_id"), F.lead("frame").over(Window.orderBy("frame")).alias("target_id")).filter("target_id IS NOT NULL")
     return matching.two_nearest(pairs, f, matching.hamming)
 
 
@@ -428,11 +430,11 @@ def _(spark, sf_dir):
     return p.join(F.broadcast(one), F.lit(True)).select("frame_id", r6(px, 4).alias("px"), r6(py, 4).alias("py"), r6(F.radians(F.coalesce("yaw", F.lit(0.0))), 9).alias("theta"))
 
 
-GRAPH = "SELECT DISTINCT o_orderkey % 211 AS a, o_custkey % 211 AS b FROM orders WHERE o_orderkey % 3 = 0"
+GRAPH = "SELECT DISTINCT o_orderkey % 2003 AS a, o_custkey % 2003 AS b FROM orders"
 
 
 def _graph(spark, sf_dir):
-    return table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select((F.col("o_orderkey") % 211).alias("a"), (F.col("o_custkey") % 211).alias("b")).distinct()
+    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2003).alias("a"), (F.col("o_custkey") % 2003).alias("b")).distinct()
 
 
 @query("placement_levels", f"WITH RECURSIVE g AS ({GRAPH}), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g), w(node, level) AS (SELECT 0::BIGINT, 0 UNION SELECT b, level + 1 FROM w JOIN u ON u.a = w.node WHERE level < 30) SELECT node, min(level) AS level FROM w GROUP BY node")
