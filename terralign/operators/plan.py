@@ -130,16 +130,18 @@ def capped_graph(frames: DataFrame, order: list[str], reach: float = 120.0, cap:
     return every.groupBy("flight_id").applyInPandas(_greedy(cap), f"flight_id {kind}, source_id long, target_id long, distance_m double")
 
 
-def placement_levels(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
-    """(node, level): how many steps each node is from the start nodes, by repeated joins; unreached nodes are left out."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = start.select(F.col("node"), F.lit(0).alias("level")).distinct().checkpoint()
-    edge = seen
-    for level in range(1, most + 1):
-        step = edge.select(F.col("node").alias("a")).join(both, "a").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        edge = step.withColumn("level", F.lit(level)).checkpoint()
-        if edge.isEmpty():
-            break
-        seen = seen.unionByName(edge).checkpoint()
+def placement_levels(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, level): how many steps each node is from the start nodes, by joins repeated until no node is new; nodes that no
+    path leads to are left out. Edges go both ways, so a level's neighbours are in it, before it, or new."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    edge = start.select(F.col("node"), F.lit(0).alias("level")).distinct().checkpoint()
+    seen, before, level = edge, edge, 0
+    while not edge.isEmpty():
+        level += 1
+        step = edge.select(F.col("node").alias("a")).join(both, "a").select(F.col("b").alias("node")).distinct().join(before.unionByName(edge), "node", "left_anti")
+        before, edge = edge, step.withColumn("level", F.lit(level)).checkpoint()
+        seen = seen.unionByName(edge)
+        if level % 32 == 0:
+            seen = seen.checkpoint()
     return seen
 

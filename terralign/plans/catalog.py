@@ -442,7 +442,7 @@ def _(spark, sf_dir):
     from ..sources.checkpoints import use_checkpoints
 
     use_checkpoints(spark)
-    return plan.placement_levels(_graph(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")), 30)
+    return plan.placement_levels(_graph(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")))
 
 
 @query("gps_fallback", f"WITH f AS ({FRAMES}), p AS ({XY}), m AS (SELECT DISTINCT l_orderkey AS frame_id FROM lineitem), o AS (SELECT x AS x0, y AS y0 FROM p ORDER BY frame_id LIMIT 1) SELECT frame_id, 'visual' AS placed, 0.0::DOUBLE AS tx, 0.0::DOUBLE AS ty FROM p SEMI JOIN m USING (frame_id) UNION ALL SELECT frame_id, 'gps', round((x - x0) * 10, 4), round((y0 - y) * 10, 4) FROM (FROM p ANTI JOIN m USING (frame_id)), o")

@@ -9,9 +9,9 @@ from terralign.config import build_config
 from terralign.functions import affine, geo, pixels
 from terralign.functions import frames as fr
 from terralign.monitor import EventBridge
-from terralign.operators import matching, solve
+from terralign.operators import matching, plan, solve
 from terralign.sinks import raster
-from terralign.sources import contracts
+from terralign.sources import checkpoints, contracts
 
 
 def value(spark, *columns):
@@ -155,3 +155,10 @@ def test_event_bridge():
     assert "Reduction" in report.markdown(s)
     with pytest.raises(RuntimeError):
         bridge.start()
+
+
+def test_levels_have_no_limit(spark):
+    checkpoints.use_checkpoints(spark)
+    path = spark.range(80).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = plan.placement_levels(path.unionByName(spark.createDataFrame([(500, 501), (3, 1)], "a long, b long")), spark.range(1).select(F.col("id").alias("node")))
+    assert {(r.node, r.level) for r in got.collect()} == {(0, 0), (1, 1), (2, 2)} | {(i, i - 1) for i in range(3, 81)}
