@@ -38,6 +38,17 @@ def join_unique(left: DataFrame, right: DataFrame, on: list[str], weight: str, t
     return left.join(hot, on, "inner").unionByName(far.join(right.filter(F.col(weight) < limit), on, "left"))
 
 
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """n numbers (long) that hash partitioning deals to n different partitions of n."""
+    found: list = []
+    size = 16 * n
+    while len(found) < n:
+        numbers = spark.range(size)
+        found = numbers.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+        size *= 4
+    return sorted(r.id for r in found)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on uint64."""
     x = x ^ (x >> np.uint64(30))
