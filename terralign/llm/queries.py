@@ -37,7 +37,7 @@ def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.select("doc_id", "lang", F.col("n").alias("n_characters"), "perplexity", "limit", "accepted")
+    return scored.select("doc_id", "lang", F.col("n").alias("n_characters"), "perplexity", "least", "limit", "accepted")
 
 
 def op6_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
