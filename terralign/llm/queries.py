@@ -22,7 +22,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan_incremental(_documents(spark, sf_dir))
+    docs = _documents(spark, sf_dir)
+    found = secrets.findings(docs, secrets.update(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 

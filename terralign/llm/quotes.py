@@ -9,8 +9,9 @@ A message replies to the original of most of its quotations at the least level t
 links, to the turn before its own in the conversation. Replies lead to a root, found with the depth by pointer jumping.
 
 Originals are pre-aggregated to one row per passage, so a very common line is one row on that side and its quotations are
-split by the join. Null and empty texts are messages without text. Repeated (conv_id, turn) rows are one message: the least
-by role and text. Rows without conv_id or turn stand alone as roots.
+split by the join. Null and empty texts are messages without text. Rows equal in conv_id, turn, role and text are one message;
+different messages of one turn stay apart, known by `part`, a hash of role and text, and the next turn replies to the one of
+least part. Rows without conv_id or turn stand alone as roots, each for itself.
 """
 
 from __future__ import annotations
@@ -40,21 +41,26 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"\s+", " "), ENDS, "")
 
 
-def passages(lines: Column) -> Column:
-    """The lines that have content, and the runs of several lines of one level, as (level, hash of the normal form)."""
+def run_starts(lines: Column) -> Column:
+    """The places of lines whose level isn't that of the line before."""
+    at = F.sequence(F.lit(0), F.size(lines) - 1)
+    return F.filter(at, lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
 
-    def add(runs: Column, line: Column) -> Column:
-        last = F.get(runs, F.size(runs) - 1)
-        longer = F.struct(line["level"].alias("level"), F.concat_ws(" ", last["content"], line["content"]).alias("content"), (last["n"] + 1).alias("n"))
-        fresh = F.array(F.struct(line["level"].alias("level"), line["content"].alias("content"), F.lit(1).alias("n")))
-        same = (F.size(runs) > 0) & (last["level"] == line["level"])
-        return F.when(same, F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, fresh))
 
-    empty = F.expr("cast(array() as array<struct<level:int,content:string,n:int>>)")
-    runs = F.filter(F.aggregate(lines, empty, add), lambda r: r["n"] > 1)
-    every = F.concat(lines, F.transform(runs, lambda r: F.struct(r["level"].alias("level"), r["content"].alias("content"))))
+def passages(lines: Column, starts: Column) -> Column:
+    """The lines that have content, and the runs of several lines of one level, as "level:hash of the normal form", each once.
+
+    lines and starts (run_starts of them) are columns, not expressions, which would be evaluated for each element.
+    """
+
+    def run(start: Column, i: Column) -> Column:
+        n = F.coalesce(F.get(starts, i + 1), F.size(lines)) - start
+        content = F.array_join(F.transform(F.slice(lines, start + 1, n), lambda x: x["content"]), " ")
+        return F.struct(F.get(lines, start)["level"].alias("level"), F.when(n > 1, content).otherwise("").alias("content"))
+
+    every = F.concat(lines, F.transform(starts, run))
     kept = F.filter(F.transform(every, lambda x: F.struct(x["level"].alias("level"), normal(x["content"]).alias("content"))), lambda x: x["content"] != "")
-    return F.array_distinct(F.transform(kept, lambda x: F.struct(x["level"].alias("level"), F.xxhash64(x["content"]).alias("h"))))
+    return F.array_distinct(F.transform(kept, lambda x: F.concat_ws(":", x["level"], F.xxhash64(x["content"]))))
 
 
 def own_text(lines: Column) -> Column:
@@ -65,27 +71,29 @@ def own_text(lines: Column) -> Column:
 
 
 def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per message: conv_id, turn, role, reply_conv, reply_turn, root_conv, root_turn, depth, n_quoted, n_linked, text."""
+    """One row per message: conv_id, turn, part, role, reply_conv, reply_turn, reply_part, root_conv, root_turn, depth, n_quoted, n_linked, text."""
     rows = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    alone = rows.filter("conv_id IS NULL OR turn IS NULL")
-    best = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m"))
-    parsed = cut(best.select("conv_id", "turn", "m.role", lines_of(F.col("m.text")).alias("lines")).withColumn("said", passages(F.col("lines"))))
+    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("part", F.xxhash64("role", "text"))
+    lines = cut(rows.select("conv_id", "turn", "part", "role", "copies", lines_of(F.col("text")).alias("lines")).withColumn("starts", run_starts(F.col("lines"))))
+    key = ["conv_id", "turn", "part"]
+    parsed = lines.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
 
-    said = parsed.select("conv_id", "turn", F.explode("said").alias("s")).select("conv_id", "turn", "s.level", "s.h")
+    said = parsed.select(*key, F.explode(passages(F.col("lines"), F.col("starts"))).alias("s"))
+    said = said.select(*key, F.split_part("s", F.lit(":"), F.lit(1)).cast("int").alias("level"), F.split_part("s", F.lit(":"), F.lit(2)).cast("long").alias("h"))
     own = said.filter("level = 0")
-    here = own.groupBy("conv_id", "h").agg(F.min("turn").alias("from_turn"))
-    first = own.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    here = own.groupBy("conv_id", "h").agg(F.min(F.struct("turn", "part")).alias("near"))
+    first = own.groupBy("h").agg(F.min(F.struct(*key)).alias("first"))
     quoted = said.filter("level > 0").join(here, ["conv_id", "h"], "left").join(first, "h", "left")
-    near = F.when(F.col("from_turn") < F.col("turn"), F.struct("conv_id", F.col("from_turn").alias("turn")))
-    far = F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first"))
-    votes = quoted.select("conv_id", "turn", "level", F.coalesce(near, far).alias("source"))
-    tally = votes.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_quoted"), F.count("source").alias("n_linked"))
-    chosen = votes.filter("source IS NOT NULL").groupBy("conv_id", "turn", "level", "source").agg(F.count(F.lit(1)).alias("n"))
-    chosen = chosen.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "n", "source")).alias("x")).select("conv_id", "turn", F.col("x.source").alias("source"))
-
-    before = parsed.select("conv_id", (F.col("turn") + 1).alias("turn"), F.struct("conv_id", "turn").alias("before"))
-    key = ["conv_id", "turn"]
-    tied = parsed.select(*key, "role", own_text(F.col("lines")).alias("text")).join(chosen, key, "left").join(before, key, "left").join(tally, key, "left")
+    near = F.when(F.col("near.turn") < F.col("turn"), F.struct("conv_id", F.col("near.turn").alias("turn"), F.col("near.part").alias("part")))
+    far = F.when(F.struct(F.col("first.conv_id").alias("conv_id"), F.col("first.turn").alias("turn")) < F.struct("conv_id", "turn"), F.col("first"))
+    votes = quoted.select(*key, "level", F.coalesce(near, far).alias("source"))
+    tally = votes.groupBy(*key).agg(F.count(F.lit(1)).alias("n_quoted"), F.count("source").alias("n_linked"))
+    chosen = votes.filter("source IS NOT NULL").groupBy(*key, "level", "source").agg(F.count(F.lit(1)).alias("n"))
+    chosen = chosen.groupBy(*key).agg(F.max(F.struct(-F.col("level"), "n", "source")).alias("x")).select(*key, F.col("x.source").alias("source"))
+
+    before = parsed.groupBy("conv_id", "turn").agg(F.min("part").alias("part"))
+    before = before.select("conv_id", (F.col("turn") + 1).alias("turn"), F.struct(*key).alias("before"))
+    tied = parsed.select(*key, "role", own_text(F.col("lines")).alias("text")).join(chosen, key, "left").join(before, ["conv_id", "turn"], "left").join(tally, key, "left")
     tied = cut(tied.select(*key, "role", "text", F.coalesce("source", "before").alias("reply"), F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")))
 
     # Pointers jump until they reach a root; rows that are there already are joined no more.
@@ -96,7 +104,9 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
         up = cut(moved.unionByName(up.filter("NOT open")))
         if up.filter("open").isEmpty():
             break
-    out = tied.join(up.drop("open"), key).select(*key, "role", F.col("reply.conv_id").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"), F.col("top.conv_id").alias("root_conv"), F.col("top.turn").alias("root_turn"), "depth", "n_quoted", "n_linked", "text")
-    lines = lines_of(F.col("text"))
-    lone = alone.select("conv_id", "turn", "role", F.lit(None).cast(out.schema["reply_conv"].dataType).alias("reply_conv"), F.lit(None).cast(out.schema["reply_turn"].dataType).alias("reply_turn"), F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("n_quoted"), F.lit(0).cast("long").alias("n_linked"), own_text(lines).alias("text"))
+    out = tied.join(up.drop("open"), key).select(*key, "role", F.col("reply.conv_id").alias("reply_conv"), F.col("reply.turn").alias("reply_turn"), F.col("reply.part").alias("reply_part"), F.col("top.conv_id").alias("root_conv"), F.col("top.turn").alias("root_turn"), "depth", "n_quoted", "n_linked", "text")
+    nothing = lambda c: F.lit(None).cast(out.schema[c].dataType).alias(c)
+    none = lambda c: F.lit(0).cast("long").alias(c)
+    lone = lines.filter("conv_id IS NULL OR turn IS NULL").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    lone = lone.select(*key, "role", *map(nothing, ("reply_conv", "reply_turn", "reply_part")), F.col("conv_id").alias("root_conv"), F.col("turn").alias("root_turn"), *map(none, ("depth", "n_quoted", "n_linked")), own_text(F.col("lines")).alias("text"))
     return out.unionByName(lone)

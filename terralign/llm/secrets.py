@@ -1,20 +1,22 @@
 """Secret scans over an incremental ledger of blobs. DataFrame functions only.
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger has a row per (blob, rule_version) that
-was ever scanned, with its findings; a scan takes only blobs that the ledger lacks at this rule version, each once however
-many paths and versions hold it, and findings are joined back to all paths.
+was ever scanned, with its findings. `update` hashes all versions where they lie and asks the ledger for the hashes alone; only
+texts of blobs that it lacks at this rule version are fetched, each scanned once however many paths and versions hold it.
+`findings` joins the ledger back to all paths.
 
 Rules, each leftmost and without overlaps: assign, access and hex (see RULES); a match that is too short is dropped after
 matching, so it still uses up its characters. Spans count code points, the end exclusive. Positions come from the pieces
-between matches: a match starts where the pieces and matches before it end.
+between matches: a match ends where the pieces and matches up to it end, by a running sum over the matches of a blob.
 
-Null text is the empty blob, which has no findings. Paths may repeat and be null. A huge group of equal texts meets in the
-map-side combine of the grouping by text; its findings are broadcast to its paths (at most common.HOT such groups).
+Null text is the empty blob, which has no findings. Paths may repeat and be null, and the ledger may hold a pair repeatedly. A
+huge group of equal texts meets in the map-side combine of the grouping by blob; its findings are broadcast to its paths (at
+most common.HOT such groups).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_unique
@@ -27,6 +29,9 @@ HEX = r"[0-9a-f]{16,}"
 RULES = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 RULE_VERSION = "base-1"
 
+#: Unseen blobs are broadcast to the texts up to this number (64 bytes each); beyond it texts are combined and shuffled first.
+BROADCAST_BLOBS = 100_000
+
 LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, spans string"
 
 
@@ -34,47 +39,63 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
-def _spans(text: F.Column, rank: int, name: str, pattern: str, group: int, least: int) -> F.Column:
-    """The array of (start, rank, end, name) of a rule."""
+def _blob(text_col: str) -> F.Column:
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+
+def _matches(text: F.Column, pattern: str, group: int) -> F.Column:
+    """The array of (gap, size, measured) of a rule: characters since the last match, of the match, and of what counts."""
     regex = F.lit(pattern)
     whole = F.regexp_extract_all(text, regex, F.lit(0))
-    measured = F.transform(F.regexp_extract_all(text, regex, F.lit(group)), F.length) if group else F.transform(whole, F.length)
-    before = F.transform(F.split(text, pattern, -1), F.length)
-    facts = F.arrays_zip(F.slice(before, F.lit(1), F.size(whole)).alias("gap"), F.transform(whole, F.length).alias("size"), measured.alias("measured"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,rank:int,end:int,name:string>>)").alias("found"))
+    size = F.transform(whole, F.length)
+    measured = F.transform(F.regexp_extract_all(text, regex, F.lit(group)), F.length) if group else size
+    gap = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(whole))
+    none = F.expr("cast(array() as array<struct<gap:int,size:int,measured:int>>)")
+    return F.when(F.regexp(text, regex), F.arrays_zip(gap.alias("gap"), size.alias("size"), measured.alias("measured"))).otherwise(none)
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(name).alias("name"))
-        return F.struct(end.alias("at"), F.when(x["measured"] >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(facts, start, step, lambda acc: acc["found"])
-    return F.when(F.regexp(text, regex), found).otherwise(start["found"])
+def scan(blobs: DataFrame) -> DataFrame:
+    """(blob, n_assign, n_access, n_hex, spans) of blobs (blob, text), those without findings left out."""
+    rules = [F.struct(F.lit(i).alias("rank"), F.lit(name).alias("name"), F.lit(least).alias("least"), _matches(F.col("text"), pattern, group).alias("found")) for i, (name, pattern, group, least) in enumerate(RULES)]
+    each = blobs.select("blob", F.explode(F.array(*rules)).alias("r")).filter(F.size("r.found") > 0)
+    each = each.select("blob", "r.rank", "r.name", "r.least", F.posexplode("r.found").alias("i", "m"))
+    so_far = Window.partitionBy("blob", "rank").orderBy("i")
+    end = F.sum(F.col("m.gap") + F.col("m.size")).over(so_far)
+    hits = each.repartition("blob").withColumn("end", end).filter(F.col("m.measured") >= F.col("least"))
+    span = F.struct((F.col("end") - F.col("m.size")).alias("start"), "rank", "end", "name")
+    counts = [F.count_if(F.col("name") == name).alias(f"n_{name}") for name, *_ in RULES]
+    found = hits.groupBy("blob").agg(*counts, F.array_sort(F.collect_list(span)).alias("s"))
+    text = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["name"], x["start"], x["end"])), ",")
+    return found.select("blob", *(f"n_{name}" for name, *_ in RULES), text.alias("spans"))
+
+
+def known(ledger: DataFrame, rule_version: str) -> DataFrame:
+    return ledger.filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
+
+
+def update(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """The ledger with the blobs of versions that it lacked at this rule version, scanned."""
+    ledger = empty_ledger(versions.sparkSession) if ledger is None else ledger
+    seen = versions.select(_blob(text_col).alias("blob")).distinct()
+    unseen = cut(seen.join(known(ledger, rule_version).select("blob"), "blob", "left_anti"))
+    texts = versions.select(_blob(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if unseen.count() <= BROADCAST_BLOBS:
+        contents = texts.join(F.broadcast(unseen), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+    else:
+        contents = texts.groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob", "left_semi")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    fresh = unseen.join(scan(contents), "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), *(count(f"n_{name}") for name, *_ in RULES), F.coalesce("spans", F.lit("")).alias("spans"))
+    return ledger.unionByName(cut(fresh))
 
 
-def scan(blobs: DataFrame) -> DataFrame:
-    """(blob, text, ...) plus n_assign, n_access, n_hex and spans (kind:start:end, by start, then rank)."""
-    found = {name: _spans(F.col("text"), i, name, *rest) for i, (name, *rest) in enumerate(RULES)}
-    out = blobs.withColumns({f"__{name}": c for name, c in found.items()})
-    spans = F.array_sort(F.concat(*(F.col(f"__{name}") for name in found)))
-    joined = F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["name"], x["start"], x["end"])), ",")
-    counts = {f"n_{name}": F.size(f"__{name}").cast("long") for name in found}
-    return out.withColumns({**counts, "spans": joined}).drop(*(f"__{name}" for name in found))
+def findings(versions: DataFrame, ledger: DataFrame, path_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """(path, blob, n_assign, n_access, n_hex, spans) of every row of versions, whose blobs the ledger knows."""
+    paths = cut(versions.select(F.col(path_col).alias(path_col), _blob(text_col).alias("blob")))
+    held = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("paths")).join(known(ledger, rule_version).drop("rule_version"), "blob")
+    return join_unique(paths, cut(held), ["blob"], "paths", paths.count()).drop("paths")
 
 
 def scan_incremental(versions: DataFrame, ledger: DataFrame | None = None, path_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Findings of every row of versions (path, blob, findings), and the ledger with the newly scanned blobs added."""
-    ledger = empty_ledger(versions.sparkSession) if ledger is None else ledger
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    contents = versions.select(text.alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("paths"))
-    contents = contents.withColumn("blob", F.sha2("text", 256))
-    known = ledger.filter(F.col("rule_version") == rule_version)
-    unseen = contents.join(known.select("blob"), "blob", "left_anti")
-    findings = ["n_assign", "n_access", "n_hex", "spans"]
-    fresh = cut(scan(unseen).select("blob", "paths", *findings))
-    paths = cut(versions.select(F.col(path_col).alias(path_col), F.sha2(text, 256).alias("blob")))
-    held = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("paths")).join(known, "blob").select("blob", "paths", *findings)
-    out = join_unique(paths, fresh.unionByName(held), ["blob"], "paths", paths.count())
-    added = fresh.select("blob", F.lit(rule_version).alias("rule_version"), *findings)
-    return out.select(path_col, "blob", *findings), ledger.unionByName(added)
+    """The findings of every row of versions, and the updated ledger."""
+    ledger = update(versions, ledger, text_col, rule_version)
+    return findings(versions, ledger, path_col, text_col, rule_version), ledger

@@ -34,5 +34,21 @@ def test_quotes_link_messages(spark):
     assert got[None, 0].text == "here" and got[5, None].depth == 0
 
 
+def test_messages_of_one_turn_stay_apart(spark):
+    rows = [(1, 0, "user", "What holds the roof?"), (1, 0, "user", "Which beam is it?"), (1, 1, "assistant", "> Which beam is it?\nThe oak one."), (1, 2, "user", "> What holds the roof?\nTell me."), (1, 0, "user", None)]
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 5
+    part = {r.text: r.part for r in got if r.turn == 0}
+    reply = {r.text: (r.reply_turn, r.reply_part, r.n_linked) for r in got if r.turn}
+    assert reply == {"The oak one.": (0, part["Which beam is it?"], 1), "Tell me.": (0, part["What holds the roof?"], 1)}
+
+
+def test_many_lines_in_a_message(spark):
+    text = "".join(f"{'> ' * (i % 3)}line number {i}\n" for i in range(20_000))
+    rows = [(1, 0, "user", "\n".join(f"line number {i}" for i in range(0, 20_000))), (2, 0, "user", text)]
+    got = {r.conv_id: r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[2].reply_conv, got[2].n_linked) == (1, got[2].n_quoted)
+
+
 def test_empty_table(spark):
     assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0

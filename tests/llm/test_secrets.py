@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from terralign.llm import secrets
@@ -19,7 +20,9 @@ def brute(text):
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_equals_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", limit)
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)] + [(None, TEXTS[4], "")], "doc_id long, text string, spans string")
     got, _ = secrets.scan_incremental(docs)
     found = got.collect()
@@ -43,6 +46,13 @@ def test_only_unseen_blobs_are_scanned(spark):
     assert {r.spans for r in found.filter("path = 'c'").collect()} == {brute(TEXTS[4])}
 
 
+def test_many_matches_in_a_text(spark):
+    text = "token=abcdefabcdef0123 " * 9_000
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    rows = secrets.scan_incremental(docs)[0].collect()
+    assert [r.spans for r in rows] == [brute(text)] * 2
+
+
 def test_empty_table(spark):
     found, ledger = secrets.scan_incremental(spark.createDataFrame([], "doc_id long, text string"))
     assert found.count() == 0 and ledger.count() == 0
