@@ -4,8 +4,9 @@
 2. Each partition sorts its fingerprints, cut to log2(rows) + 10 bits, codes their gaps with a Golomb-Rice code and sends
    each owner (a range of fingerprints) its block.
 3. Owners merge their blocks and send back one bit per fingerprint: seen more than once, or not.
-4. Partitions turn the bits into suspect fingerprints; a second scan sends the suspects' texts only, and grouping them by
-   their bytes confirms or clears each one. Copies meet in the map-side combine, so a huge group is no hot task.
+4. Blocks and bits meet, one row each for partition and owner, and give the suspect fingerprints, cut as they were sent. A
+   second scan sends the suspects' texts only, and grouping them by their bytes confirms or clears each one. Copies meet in the
+   map-side combine, so a huge group is no hot task. All other rows are returned without having moved.
 
 Null texts count as empty; empty texts equal one another. Of equal texts the largest doc_id stays; rows without doc_id
 stay only where the group has no other. Repeated rows (same id and text) are members of one group; `deduplicate` keeps
@@ -27,7 +28,7 @@ from .common import cut, join_unique
 #: Fingerprints that an owner merges at a time (the number of owners follows the number of rows).
 OWNER_ROWS = 4_000_000
 LEAST_OWNERS = 16
-#: Suspect fingerprints are broadcast up to this number (8 bytes each), and joined by a shuffle beyond.
+#: Cut suspect fingerprints are broadcast up to this number (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_SUSPECTS = 1_000_000
 
 
@@ -103,18 +104,14 @@ def _merge(blocks: pa.Table) -> pa.Table:
     return pa.table({"part": blocks.column("part"), "owner": blocks.column("owner"), "bits": pa.array(bits, pa.binary())})
 
 
-def _suspects(layout: Layout):
-    def of(rows: pa.Table, bitmaps: pa.Table) -> pa.Table:
-        fp = np.unique(rows.column("fp").to_numpy())
-        short = layout.short(fp)
-        value, cuts = np.unique(short), layout.cuts()
-        at = np.searchsorted(value, cuts)
-        flagged = np.zeros(len(value), bool)
-        for o, bits in zip(bitmaps.column("owner").to_pylist(), bitmaps.column("bits").to_pylist(), strict=True):
-            flagged[at[o] : at[o + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(at[o + 1] - at[o])).astype(bool)
-        return pa.table({"fp": pa.array(fp[flagged[np.searchsorted(value, short)]], pa.int64())})
-
-    return of
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (block, bits): the fingerprints of each block that were seen more than once."""
+    for b in batches:
+        found = [np.zeros(0, np.uint64)]
+        for block, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            value = rice_decode(block)
+            found.append(value[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(value)).astype(bool)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["short"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,41 +120,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return cut(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("fp"), F.sha2(text, 256).alias("text_sha256"), F.spark_partition_id().alias("part")))
 
 
-def suspects(prints: DataFrame) -> tuple[DataFrame, int, int]:
-    """Fingerprints that may belong to several rows (checkpointed), their number, and the number of rows."""
-    rows = prints.count()
-    layout = Layout(rows)
-    blocks = prints.select("part", "fp").mapInArrow(_blocks(layout), "owner int, part int, block binary, again binary")
+def suspects(prints: DataFrame) -> tuple[DataFrame, int, Layout]:
+    """Cut fingerprints (short) that may belong to several rows (checkpointed), their number, and the layout."""
+    layout = Layout(prints.count())
+    blocks = cut(prints.select("part", "fp").mapInArrow(_blocks(layout), "owner int, part int, block binary, again binary"))
     bitmaps = blocks.groupBy("owner").applyInArrow(_merge, "part int, owner int, bits binary")
-    found = prints.select("part", "fp").groupBy("part").cogroup(bitmaps.groupBy("part")).applyInArrow(_suspects(layout), "fp long")
+    found = blocks.join(bitmaps, ["part", "owner"]).select("block", "bits").mapInArrow(_flagged, "short long")
     found = cut(found.distinct())
-    return found, found.count(), rows
+    return found, found.count(), layout
 
 
-def _near(docs: DataFrame, found: DataFrame, n: int, how: str) -> DataFrame:
-    return docs.join(F.broadcast(found) if n <= BROADCAST_SUSPECTS else found, "fp", how)
+def _near(docs: DataFrame, found: DataFrame, n: int, layout: Layout, how: str) -> DataFrame:
+    """docs (fp, ...) whose cut fingerprint is, or isn't, among those found."""
+    cut_fp = F.shiftrightunsigned("fp", 64 - layout.bits)
+    return docs.join(F.broadcast(found) if n <= BROADCAST_SUSPECTS else found, cut_fp == F.col("short"), how)
 
 
 def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     prints = fingerprints(docs, id_col, text_col)
-    found, n, rows = suspects(prints)
+    found, n, layout = suspects(prints)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = _near(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("fp")), found, n, "left_semi")
+    texts = _near(docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("fp")), found, n, layout, "left_semi")
     groups = texts.groupBy("fp", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     groups = cut(groups.select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"))
-    joined = join_unique(prints.select("doc_id", "text_sha256"), groups, ["text_sha256"], "group_size", rows)
+    seen = cut(_near(prints, found, n, layout, "left_semi").select("doc_id", "text_sha256"))
+    joined = join_unique(seen, groups, ["text_sha256"], "group_size", seen.count())
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    joined = joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    alone = _near(prints, found, n, layout, "left_anti")
+    return joined.unionByName(alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns. Rows that no other row's fingerprint resembles pass without a shuffle."""
-    found, n, _ = suspects(fingerprints(docs, id_col, text_col))
+    found, n, layout = suspects(fingerprints(docs, id_col, text_col))
     names = [f"c{i}" for i in range(len(docs.columns))]
     whole = F.struct(*(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(whole.alias("row"), text.alias("text"), F.col(id_col).alias("id"), F.xxhash64(text).alias("fp"))
-    best = _near(rows, found, n, "left_semi").groupBy("fp", "text").agg(F.max_by("row", F.struct(F.col("id").isNotNull(), F.col("id"))).alias("row"))
-    out = _near(rows, found, n, "left_anti").select("row").unionByName(best.select("row"))
+    best = _near(rows, found, n, layout, "left_semi").groupBy("fp", "text").agg(F.max_by("row", F.struct(F.col("id").isNotNull(), F.col("id"))).alias("row"))
+    out = _near(rows, found, n, layout, "left_anti").select("row").unionByName(best.select("row"))
     return out.select(*(F.col(f"row.{k}").alias(c) for c, k in zip(docs.columns, names, strict=True)))

@@ -9,7 +9,8 @@ The prefix sum is spread out: rows are range-partitioned by (source, size, id),
 covers many partitions; partitions count their rows per source, and the running sums of these few counts are the offsets.
 
 Null and empty texts have size 0; a null source is a source of its own, last in order. Rows without id come first within
-their size. Rows alike in source, size and id are taken for one another. An empty table gives an empty mix.
+their size. Rows alike in source, size and id are taken for one another. An empty table gives an empty mix. Other
+columns may have any names, but no maps among rows that repeat.
 """
 
 from __future__ import annotations
@@ -25,20 +26,19 @@ from .common import cut
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (3, 1, 2)
+# Fixed value: a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def word_counts(docs: DataFrame, text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
-    """keep (new name: old name) and `size`: the runs without ASCII white space of each whole text."""
-    keep = keep or {"doc_id": "doc_id", "source": "source"}
-    chosen = docs.select(*(F.col(old).alias(new) for new, old in keep.items()), F.col(text_col).cast("binary").alias("text"))
+def word_count(text: F.Column) -> F.Column:
+    """The runs without ASCII white space of a whole text."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size = pa.array([len(t.split()) if t else 0 for t in b.column(len(keep)).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), size], [*keep, "size"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
-    return chosen.mapInArrow(count, ", ".join([*kinds, "size long"]))
+def word_counts(docs: DataFrame, text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
+    """keep (new name: old name) and `size`."""
+    keep = keep or {"doc_id": "doc_id", "source": "source"}
+    return docs.select(*(F.col(old).alias(new) for new, old in keep.items()), word_count(F.col(text_col)).alias("size"))
 
 
 def targets(sizes: DataFrame, share: tuple[int, int] = (3, 2), most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -111,12 +111,24 @@ def mix(sizes: DataFrame, seed: int = 7, partitions: int | None = None, most: in
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows alike in id, source and text share their group's copies."""
-    mark = "__row_key"
-    keyed = docs.withColumn(mark, F.xxhash64(F.struct(F.col(id_col), F.col(source_col), F.col(text_col))))
-    sizes = word_counts(keyed, text_col, {"doc_id": id_col, "source": source_col, mark: mark})
-    taken = mix(sizes, seed).groupBy(mark).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    each = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.pmod(F.monotonically_increasing_id(), F.col("__rows")) < F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    out = keyed.join(taken.filter("__copies > 0"), mark)
-    out = out.withColumn("__n", each.cast("int")).filter("__n > 0")
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it.
+
+    Rows alike in id, source and text share their copies: equal rows are counted by a map-side combine and emitted together,
+    and what else differs among such rows divides the copies in order of a hash of the whole row.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    whole = F.struct(*(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)))
+    rows = docs.select(whole.alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("h"))
+    key = ["doc_id", "source", "h"]
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("h"), word_count(F.col(text_col)).alias("size"))
+    taken = mix(sizes, seed).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("times")).filter("copies > 0")
+    taken = cut(taken.select(*(F.col(c).alias(f"t_{c}") for c in key), "copies", "times"))
+    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in key]
+    out = rows.join(taken, same)
+    once = out.filter("times = 1").select("row", F.col("copies").cast("int").alias("n"))
+    kinds = out.filter("times > 1").groupBy("row", *key, "copies", "times").agg(F.count(F.lit(1)).alias("rows"))
+    so_far = F.sum("rows").over(Window.partitionBy(*key).orderBy(F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, 0))
+    part = lambda end: F.floor(F.col("copies") * end / F.col("times"))
+    shared = kinds.withColumn("end", so_far).select("row", (part(F.col("end")) - part(F.col("end") - F.col("rows"))).cast("int").alias("n"))
+    every = once.unionByName(shared).filter("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return every.select(*(F.col(f"row.{k}").alias(c) for c, k in zip(docs.columns, names, strict=True)))

@@ -2,7 +2,7 @@
 
 1. Rows with equal shingle sets (a 128-bit digest of the set) form a class; its least doc_id stands for it.
 2. A class has a signature of SYMBOLS symbols, each BITS bits of a minimum hash. A pair at the least similarity linked
-   differs in a fifth of the symbols on average; RADIUS is where all but some 1e-5 of such pairs lie.
+   differs in a fifth of the symbols on average; RADIUS is where all but some 4e-6 of such pairs lie.
 3. The symbols are split into CHUNKS chunks with CHUNKS * (ERRORS + 1) > RADIUS, so any pair within the radius has a chunk
    with ERRORS errors at most. A chunk emits a key for each way to leave out ERRORS symbols: such a pair shares a key.
 4. Classes that share a key are compared in blocks; pairs within the radius, or in large buckets a spanning forest of them,
@@ -14,7 +14,7 @@ Buckets and components above BLOCK rows are dealt to tasks as pairs of blocks, s
 
 Null texts and texts without words have an empty set and are linked with nothing. Rows without doc_id are returned with a
 null component and stay. doc_id names the row: rows that share one count as one node, in the component of its least link.
-Other columns, whatever their names, are not read.
+Ids are whole numbers. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import WordHasher, cut, join_unique, mix64, windows
 from .components import components
 
-SYMBOLS, BITS, RADIUS, CHUNKS, ERRORS = 64, 16, 26, 14, 1
+SYMBOLS, BITS, RADIUS, CHUNKS, ERRORS = 64, 16, 28, 15, 1
 assert CHUNKS * (ERRORS + 1) > RADIUS and ERRORS == 1
 BLOCK = 4096
 #: Candidate ids are broadcast up to this number (16 bytes each), and joined by a shuffle beyond.
@@ -256,7 +256,9 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
 
 
 def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    """One row per input row: doc_id, n_shingles, component_id, kept. RADIUS holds for links of 80 percent or more."""
+    if percent < 80:
+        raise ValueError("candidates are searched for similarities of 80 percent or more")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = cut(texts.mapInArrow(_describe(words), "doc_id long, n_shingles long, set1 long, set2 long, sig binary"))
     full = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -291,8 +293,19 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows that stay: of each component the row with its least doc_id; all columns."""
-    gone = resolve(docs, id_col, text_col, words, percent).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = cut(gone)
-    other = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(other, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows that stay, all columns: of each component the row with its least doc_id; of rows equal in id and text one."""
+    found = cut(resolve(docs, id_col, text_col, words, percent).select("doc_id", "kept"))
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    whole = F.struct(*(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)))
+    rows = docs.select(whole.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+    def near(ids: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        return of.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col("id") == F.col("gone"), how)
+
+    left = near(cut(gone), "left_anti", rows)
+    again = cut(found.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("gone")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gone"))
+    if not again.isEmpty():
+        one = near(again, "left_semi", left).groupBy("id", "text").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        left = near(again, "left_anti", left).select("row").unionByName(one.select("row"))
+    return left.select(*(F.col(f"row.{k}").alias(c) for c, k in zip(docs.columns, names, strict=True)))
