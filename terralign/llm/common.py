@@ -102,7 +102,16 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
     if len(words) == 0:
         return words
     n = min(n, len(words))
-    out = np.full(len(words) - n + 1, np.uint64(n), np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + words[i : len(words) - n + 1 + i]
-    return mix64(out)
+    out, width, size = words * np.uint64(0xD6E8FEB86659FD93), 1, len(words) - n + 1
+    total, place = None, 0
+    while True:  # runs of 1, 2, 4, ... words make up a run of n
+        if n & width:
+            part = out[place : place + size]
+            total, place = (part if total is None else total * _power(width) + part), place + width
+        if 2 * width > n:
+            return mix64(total + np.uint64(n))
+        out, width = out[:-width] * _power(width) + out[width:], 2 * width
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(0xD6E8FEB86659FD93, n, 1 << 64))

@@ -57,3 +57,12 @@ def test_documents_are_repeated(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(mixing.word_counts(docs)).count() == 0 and mixing.mixed_documents(docs).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(i, f"word {'x ' * (i % 5)}", "a", 777, 1, 2, 3) for i in range(40)] + [(5, "word ", "a", 777, 1, 2, 3)] * 7 + [(5, "word ", "a", 778, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __n long, __i long, __row_key long, copies long")
+    one, two = (sorted(map(tuple, mixing.mixed_documents(docs.repartition(n)).collect())) for n in (1, 5))
+    assert one == two and set(one) <= set(rows)
+    taken = mixing.mix(mixing.word_counts(docs)).agg({"copies": "sum"}).first()[0]
+    assert len(one) == taken

@@ -113,3 +113,17 @@ def test_components(spark, edges):
                 stack += near[x]
     frame = spark.createDataFrame(edges, "a long, b long").withColumn("noise", F.lit(1))
     assert {r.node: r.component for r in components(frame).collect()} == want
+
+
+def test_deduplicate_with_clashing_columns_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "a", 9), (1, text, "a", 9), (2, text + " more", "b", 9), (3, "other words here", "c", 9), (None, "x", "d", 9), (None, "x", "d", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __gone string, gone long")
+    kept = near_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r["__gone"]) for r in kept.collect()) == [(0, "d"), (0, "d"), (1, "a"), (3, "c")]
+
+
+def test_less_than_the_least_similarity_is_refused(spark):
+    with pytest.raises(ValueError):
+        near_dedup.resolve(spark.createDataFrame([], "doc_id long, text string"), percent=60)
