@@ -98,4 +98,5 @@ def number(text: Column) -> Column:
 
 
 def first_filled(*cells: Column) -> Column:
-    return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in cells))
+    """The first cell that isn't empty; one of white space counts as filled."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in cells))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,9 @@ def plan_frames(accepted: DataFrame) -> DataFrame:
     """Accepted frames with UTM position, ground resolution and heading, in order of path."""
     one = plan.project_utm(accepted.withColumn("flight_id", F.lit(0)), ["flight_id"])
     gsd = fr.ground_resolution(F.col("altitude"), F.col("focal_length_35mm"), F.col("focal_length"), F.col("width"))
-    return plan.fill_headings(one.withColumn("gsd", gsd), ["flight_id"], ["path"])
+    w, h = fr.oriented_size(F.col("width"), F.col("height"), F.col("orientation"))
+    one = one.withColumn("gsd", gsd).withColumns({"width": w, "height": h})
+    return plan.fill_headings(one, ["flight_id"], ["path"])
 
 
 def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = None, on_event: Callable[[dict], None] | None = None) -> RunSummary:
@@ -49,12 +52,12 @@ def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = N
         pairs = plan.neighbor_graph(planned, config.k_neighbors, config.max_neighbor_distance_m, "easting", "northing").select("source_id", "target_id", "distance_m")
 
         monitor.set_stage("match")
-        decoded = images.read_pixels(spark, folder).join(planned.select("frame_id"), "frame_id", "left_semi")
+        decoded = images.upright(images.read_pixels(spark, folder), planned)
         features = mosaic.extract(decoded, config.matcher, config.feature_limit, config.matching_image_max_dim).checkpoint()
         points = mosaic.match(features, pairs, config.ratio_test_threshold)
         transforms = matching.pair_transforms(points, config.transform_model, config.ransac_thresh_px, config.min_inliers).checkpoint()
         found = matching.match_statistics(transforms).first()
-        summary.pairs_evaluated, summary.total_inliers, summary.mean_inlier_ratio, summary.mean_reprojection_error = found.pairs, found.inliers, found.mean_inlier_ratio, found.mean_error
+        summary.total_matches_evaluated, summary.total_inliers_found, summary.mean_inlier_ratio, summary.mean_reprojection_error = found.pairs, found.inliers, found.mean_inlier_ratio, found.mean_error
 
         monitor.set_stage("align")
         ground = planned.filter("gsd > 0").agg(F.median("gsd")).first()[0] * config.output_resolution_factor
@@ -113,7 +116,9 @@ def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = N
     summary.bandwidth_reduction_factor = summary.input_bytes / size if size else 0.0
     for name in ("metrics.json", "report.json"):
         files.write_text(spark, f"{out}/{name}", summary.to_json())
-    files.write_csv(monitor.frame(spark), f"{out}/metrics.csv")
+    files.write_samples(spark, f"{out}/metrics.csv", monitor.samples)
+    if report.chart(monitor.samples, f"/tmp/chart-{summary.run_id}.png"):
+        files.write_bytes(spark, f"{out}/resources.png", Path(f"/tmp/chart-{summary.run_id}.png").read_bytes())
     files.write_text(spark, f"{out}/report.md", report.markdown(summary))
     return summary
 

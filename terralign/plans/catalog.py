@@ -15,6 +15,7 @@ from ..functions import affine, geo
 from ..functions import frames as fr
 from ..operators import compose, matching, plan, telemetry
 from ..session import table
+from ..sources import contracts, images
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -114,7 +115,7 @@ def _(spark, sf_dir):
 
 @query("attribute_extract", r"""SELECT event_id, TRY_CAST(regexp_extract(props, '"k"\s*:\s*([+-]?[0-9.]+)', 1) AS DOUBLE) AS k FROM events""")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.regexp_extract("props", r'"k"\s*:\s*([+-]?[0-9.]+)', 1).try_cast("double").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", images.xmp_number(F.regexp_replace("props", r'"k"\s*:\s*([+-]?[0-9.]+)', 'k="$1"'), "k").alias("k"))
 
 
 AUDIT = """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN '  ' WHEN c_custkey % 9 = 0 THEN 'n/a' ELSE (c_nationkey::DOUBLE)::VARCHAR END AS a,
@@ -124,10 +125,10 @@ AUDIT = """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN '  ' WHEN c_
 @query(
     "audit_metadata",
     rf"""WITH r AS ({AUDIT}), v AS (SELECT id, model, CASE WHEN regexp_full_match(trim(x), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') THEN trim(x)::DOUBLE END AS n
-      FROM (SELECT *, coalesce(nullif(trim(a), ''), nullif(trim(b), '')) AS x FROM r))
+      FROM (SELECT *, coalesce(nullif(a, ''), nullif(b, '')) AS x FROM r))
     SELECT count(*) AS total_files, count(n) AS gps_files, count(*) - count(n) AS files_without_gps, min(n) AS least, max(n) AS greatest,
       count(n) = count(*) AS gps_complete, CASE WHEN count(n) > 0 THEN 'accepted_with_limitations' ELSE 'rejected' END AS status,
-      array_to_string(list_sort(list(DISTINCT model) FILTER (trim(model) <> '')), ',') AS models FROM v""",
+      array_to_string(list_sort(list(DISTINCT trim(model)) FILTER (trim(model) <> '')), ',') AS models FROM v""",
 )
 def _(spark, sf_dir):
     k = F.col("c_custkey")
@@ -136,12 +137,12 @@ def _(spark, sf_dir):
         F.when(k % 3 == 0, "1.5e1").otherwise("").alias("b"),
         F.when(k % 10 == 0, "").otherwise(F.col("c_mktsegment")).alias("model"),
     )
-    n = fr.number(fr.first_filled(F.col("a"), F.col("b")))
-    model = F.when(F.trim("model") != "", F.col("model"))
-    return rows.agg(
-        F.count(F.lit(1)).alias("total_files"), F.count(n).alias("gps_files"), (F.count(F.lit(1)) - F.count(n)).alias("files_without_gps"), F.min(n).alias("least"), F.max(n).alias("greatest"),
-        (F.count(n) == F.count(F.lit(1))).alias("gps_complete"), F.when(F.count(n) > 0, "accepted_with_limitations").otherwise("rejected").alias("status"), F.array_join(F.sort_array(F.collect_set(model)), ",").alias("models"),
-    )
+    one = contracts.audit(rows.select(F.col("a").alias("GPSLatitude"), F.col("b").alias("EXIF:GPSLatitude"), F.lit("1").alias("GPSLongitude"), F.col("model").alias("Model")))
+    gps, total = F.col("gps"), F.col("total")
+    return one.select(
+        total.alias("total_files"), gps.alias("gps_files"), (total - gps).alias("files_without_gps"), F.col("s").alias("least"), F.col("n").alias("greatest"), (gps == total).alias("gps_complete"),
+        F.when(gps > 0, "accepted_with_limitations").otherwise("rejected").alias("status"), F.array_join("models", ",").alias("models"),
+    )
 
 
 @query("upload_status", f"WITH f AS ({CHECKED}) SELECT frame_id % 7 AS project, CASE WHEN count(*) FILTER (readable AND lat IS NOT NULL) >= 2 THEN 'ready_for_processing' WHEN count(*) FILTER (readable) = 0 THEN 'error' ELSE 'warning_no_gps' END AS status FROM f GROUP BY 1")
@@ -430,19 +431,20 @@ def _(spark, sf_dir):
     return p.join(F.broadcast(one), F.lit(True)).select("frame_id", r6(px, 4).alias("px"), r6(py, 4).alias("py"), r6(F.radians(F.coalesce("yaw", F.lit(0.0))), 9).alias("theta"))
 
 
-GRAPH = "SELECT DISTINCT o_orderkey % 2003 AS a, o_custkey % 2003 AS b FROM orders"
+GRAPH = "SELECT DISTINCT 2 * l_orderkey AS a, 2 * l_partkey + 1 AS b FROM lineitem"
 
 
 def _graph(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 2003).alias("a"), (F.col("o_custkey") % 2003).alias("b")).distinct()
+    return table(spark, sf_dir, "lineitem").select((2 * F.col("l_orderkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b")).distinct()
 
 
-@query("placement_levels", f"WITH RECURSIVE g AS ({GRAPH}), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g), w(node, level) AS (SELECT 0::BIGINT, 0 UNION SELECT b, level + 1 FROM w JOIN u ON u.a = w.node WHERE level < 30) SELECT node, min(level) AS level FROM w GROUP BY node")
+@query("placement_levels", f"WITH RECURSIVE g AS ({GRAPH}), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g), w(node, level) USING KEY (node) AS (SELECT min(a), 0 FROM g UNION SELECT u.b, min(w.level) + 1 FROM w JOIN u ON u.a = w.node WHERE u.b NOT IN (SELECT node FROM recurring.w) GROUP BY u.b) SELECT node, level FROM w")
 def _(spark, sf_dir):
     from ..sources.checkpoints import use_checkpoints
 
     use_checkpoints(spark)
-    return plan.placement_levels(_graph(spark, sf_dir), spark.range(1).select(F.col("id").alias("node")))
+    graph = _graph(spark, sf_dir)
+    return plan.placement_levels(graph, graph.agg(F.min("a").alias("node")).filter("node IS NOT NULL"))
 
 
 @query("gps_fallback", f"WITH f AS ({FRAMES}), p AS ({XY}), m AS (SELECT DISTINCT l_orderkey AS frame_id FROM lineitem), o AS (SELECT x AS x0, y AS y0 FROM p ORDER BY frame_id LIMIT 1) SELECT frame_id, 'visual' AS placed, 0.0::DOUBLE AS tx, 0.0::DOUBLE AS ty FROM p SEMI JOIN m USING (frame_id) UNION ALL SELECT frame_id, 'gps', round((x - x0) * 10, 4), round((y0 - y) * 10, 4) FROM (FROM p ANTI JOIN m USING (frame_id)), o")

@@ -49,3 +49,30 @@ def write_csv(rows: DataFrame, path: str) -> None:
     """One CSV part with a header; nothing for an empty frame."""
     if not rows.isEmpty():
         rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_jpeg(spark: SparkSession, path: str, png: bytes, quality: float = 0.9) -> int:
+    """A PNG as JPEG, by the JVM's image writer; alpha is dropped onto black."""
+    jvm = spark._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(png)))
+    flat = jvm.java.awt.image.BufferedImage(image.getWidth(), image.getHeight(), 1)
+    flat.createGraphics().drawImage(image, 0, 0, None)
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpg").next()
+    how = writer.getDefaultWriteParam()
+    how.setCompressionMode(2)
+    how.setCompressionQuality(quality)
+    writer.setOutput(jvm.javax.imageio.ImageIO.createImageOutputStream(out))
+    writer.write(None, jvm.javax.imageio.IIOImage(flat, None, None), how)
+    writer.getOutput().flush()
+    return write_bytes(spark, path, bytes(out.toByteArray()))
+
+
+# The header of metrics.csv.
+SAMPLE_COLUMNS = "timestamp,elapsed_seconds,stage,cpu_percent,rss_ram_mb,disk_read_mb,disk_write_mb"
+
+
+def write_samples(spark: SparkSession, path: str, samples: list[tuple]) -> None:
+    """The samples of a run as one CSV file; a header alone where there are none. A run's samples are some per second."""
+    lines = [",".join(str(round(v, 4)) if isinstance(v, float) else str(v) for v in s) for s in samples]
+    write_text(spark, path, "\n".join([SAMPLE_COLUMNS, *lines]) + "\n")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frames as fr
+from ..sinks import files
 
 POSE = "frame_id string, x double, y double, scale double, rotation double, confidence double, dropped boolean"
 CANVAS = "crs string, left double, top double, pixel_size double, width int, height int, gsd double, source_dataset string"
@@ -40,27 +41,38 @@ def write_json(frame: DataFrame, path: str, wrap: str | None = None) -> None:
     text.coalesce(1).write.mode("overwrite").text(path)
 
 
-def audit_csv(spark: SparkSession, path: str, dataset: str, source_url: str, terms_url: str | None = None) -> dict:
-    """What a metadata table of ExifTool says about a dataset; ValueError if it has no rows."""
-    rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    rows = rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
-    if rows.isEmpty():
-        raise ValueError("the metadata has no rows")
+def audit(rows: DataFrame) -> DataFrame:
+    """One row of counts, ranges and camera models of an ExifTool table (all columns text, any of them missing)."""
 
-    def cell(*names: str):
+    def cell(*names: str) -> F.Column:
         there = [F.col(f"`{n}`") for n in names if n in rows.columns]
         return fr.number(fr.first_filled(*there)) if there else F.lit(None).cast("double")
 
     lat, lon = cell("GPSLatitude", "EXIF:GPSLatitude"), cell("GPSLongitude", "EXIF:GPSLongitude")
     altitude, pitch = cell("GPSAltitude", "EXIF:GPSAltitude", "RelativeAltitude"), cell("GimbalPitchDegree")
     model = F.nullif(F.trim(F.col("Model")), F.lit("")) if "Model" in rows.columns else F.lit(None).cast("string")
-    one = rows.agg(
+    return rows.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(lat.isNotNull() & lon.isNotNull()).alias("gps"), F.min(lat).alias("s"), F.max(lat).alias("n"), F.min(lon).alias("w"), F.max(lon).alias("e"),
         F.count(altitude).alias("alt"), F.count(pitch).alias("pitch"), F.sort_array(F.collect_set(model)).alias("models"),
-    ).first()
+    )
+
+
+def audit_csv(spark: SparkSession, path: str, dataset: str, source_url: str, terms_url: str | None = None) -> dict:
+    """What a metadata table of ExifTool says about a dataset; ValueError if it has no rows."""
+    rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    rows = rows.toDF(*(c.lstrip("﻿") for c in rows.columns))
+    if rows.isEmpty():
+        raise ValueError("the metadata has no rows")
+
+    one = audit(rows).first()
     return {
         "dataset": dataset, "source_url": source_url, "terms_url": terms_url, "total_files": one.total, "readable_files": one.total, "gps_files": one.gps, "files_without_gps": one.total - one.gps,
         "latitude_range": [one.s, one.n] if one.gps else None, "longitude_range": [one.w, one.e] if one.gps else None, "altitude_files": one.alt, "gimbal_pitch_files": one.pitch, "camera_models": list(one.models),
         "gps_complete": one.gps == one.total, "status": "accepted_with_limitations" if one.gps else "rejected",
         "limitations": ["Positions are counted in the table; flight pattern and imagery need a look.", "EXIF positions are not of survey grade."],
     }
+
+
+def write_audit(spark: SparkSession, path: str, found: dict) -> None:
+    """The audit of a dataset as JSON."""
+    files.write_json(spark, path, found)

@@ -5,17 +5,20 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frames as fr
-from ..functions import geo
+from ..functions import geo, pixels
 
 # Tag numbers of TIFF and EXIF directories, and the bytes of their value types.
 WIDTH, HEIGHT, MODEL, ORIENTATION, DATETIME, EXIF_IFD, GPS_IFD = 256, 257, 272, 274, 306, 34665, 34853
 ORIGINAL, FOCAL, FOCAL_35, PIXEL_X, PIXEL_Y = 36867, 37386, 41989, 40962, 40963
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+#: What image files are called, in either case.
+NAMES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in ("jpg", "jpeg", "tif", "tiff", "png")) + "}"
 META = (
     "lat_dms array<double>, lat_ref string, lon_dms array<double>, lon_ref string, gps_altitude double, gps_track double, focal_length double, focal_length_35mm double, camera_model string, timestamp string, "
     "orientation int, width int, height int, readable boolean"
@@ -104,7 +107,7 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", NAMES).load(folder)
         return files.filter(fr.is_image(F.col("path"))).select("path", "length", "content")
     except AnalysisException:
         return spark.createDataFrame([], "path string, length long, content binary")
@@ -141,5 +144,20 @@ def folder_report(frames: DataFrame) -> DataFrame:
 def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
     """(frame_id, width, height, channels, data): pixels row by row, blue first; files that can't be decoded are left out."""
     i = F.col("image")
-    images = spark.read.format("image").option("dropInvalid", "true").load(folder)
+    images = spark.read.format("image").option("dropInvalid", "true").option("pathGlobFilter", NAMES).load(folder)
     return images.select(fr.stem(i["origin"]).alias("frame_id"), i["width"].alias("width"), i["height"].alias("height"), i["nChannels"].alias("channels"), i["data"].alias("data"))
+
+
+def upright(images: DataFrame, frames: DataFrame) -> DataFrame:
+    """read_pixels' rows of the frames (frame_id, orientation), turned as their orientation says; only those that need it leave the JVM."""
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                image = pixels.orient(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels), r.orientation)
+                yield pd.DataFrame([(r.frame_id, image.shape[1], image.shape[0], r.channels, image.tobytes())], columns=["frame_id", "width", "height", "channels", "data"])
+
+    known = images.join(frames.select("frame_id", F.coalesce("orientation", F.lit(1)).alias("orientation")), "frame_id")
+    as_is = ~F.col("orientation").between(2, 8)
+    turned = known.filter(~as_is).mapInPandas(turn, "frame_id string, width int, height int, channels int, data binary")
+    return known.filter(as_is).drop("orientation").unionByName(turned)

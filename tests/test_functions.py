@@ -1,10 +1,11 @@
+import json
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terralign import report
+from terralign import config, monitor, report
 from terralign.config import build_config
 from terralign.functions import affine, geo, pixels
 from terralign.functions import frames as fr
@@ -57,7 +58,7 @@ def test_frames(spark):
     assert value(spark, *(fr.format_seconds(F.lit(x)) for x in (5.04, 754.9, 3900.0))) == ("5.0s", "12m 34s", "1h 05m")
     assert [report.spoken(x) for x in (5.04, 754.9, 3900.0)] == ["5.0s", "12m 34s", "1h 05m"]
     assert value(spark, *(fr.number(F.lit(x)) for x in (" 1.5e1 ", "1d", "", "abc", "-.5"))) == (15.0, None, None, None, -0.5)
-    assert value(spark, fr.stem(F.lit("/a/b.c/x.y.jpg")), fr.stem(F.lit(".hidden")), fr.first_filled(F.lit("  "), F.lit("2"))) == ("x.y", ".hidden", "2")
+    assert value(spark, fr.stem(F.lit("/a/b.c/x.y.jpg")), fr.stem(F.lit(".hidden")), fr.first_filled(F.lit(""), F.lit("2"))) == ("x.y", ".hidden", "2")
     assert value(spark, fr.exposure_gain(F.lit(50.0)), fr.exposure_gain(F.lit(200.0)), fr.exposure_gain(F.lit(5.0))) == (1.25, 0.8, 1.0)
 
 
@@ -162,3 +163,36 @@ def test_levels_have_no_limit(spark):
     path = spark.range(80).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = plan.placement_levels(path.unionByName(spark.createDataFrame([(500, 501), (3, 1)], "a long, b long")), spark.range(1).select(F.col("id").alias("node")))
     assert {(r.node, r.level) for r in got.collect()} == {(0, 0), (1, 1), (2, 2)} | {(i, i - 1) for i in range(3, 81)}
+
+
+def test_settings_from_files(tmp_path):
+    (tmp_path / "my_machine.yaml").write_text("# bounds\nmax_cpus: 3\nmatcher: 'orb'  # fast\nmultiband_blending: True\ntile_min_zoom: ~\n")
+    c = build_config("my-machine", "quality", profiles_dir=str(tmp_path))
+    assert (c.max_cpus, c.matcher, c.multiband_blending, c.tile_min_zoom, c.feature_limit) == (3, "sift", True, None, 3000)
+    assert config.read_settings(str(tmp_path / "none.yaml")) == {}
+
+
+def test_summary_names():
+    found = json.loads(monitor.RunSummary("r").to_json())
+    assert list(found)[:2] == ["run_id", "profile"] and {"total_matches_evaluated", "total_inliers_found"} <= set(found)
+    with pytest.raises(TypeError):
+        monitor.RunSummary("r", nothing=1)
+
+
+def test_event_log_as_rows(spark, tmp_path):
+    log = EventBridge("r", "d", interval=0.05)
+    log.start()
+    log.handle({"event": "first_tile", "row": 0})
+    log.handle({"event": "tile_written", "row": 1})
+    assert [r.event for r in log.frame(spark).orderBy("seq").collect()] == ["first_tile", "tile_written"]
+    with pytest.raises(RuntimeError):
+        log.write(spark, str(tmp_path))
+    log.finalize(10, 5)
+    log.write(spark, str(tmp_path))
+    assert {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"metrics.json", "metrics.csv", "report.json", "report.md"}
+
+
+def test_a_cell_of_white_space_is_picked(spark):
+    rows = spark.createDataFrame([("  ", "5"), ("", "5"), (None, "5"), ("4", "5"), ("", "")], "a string, b string")
+    got = [r.n for r in rows.select(fr.number(fr.first_filled(F.col("a"), F.col("b"))).alias("n")).collect()]
+    assert got == [None, 5.0, 5.0, 4.0, None]

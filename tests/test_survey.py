@@ -52,7 +52,7 @@ def test_run_writes_all_products(spark, folder, tmp_path):
     out, events = tmp_path / "out", []
     config = build_config("laptop", "fast", {"matcher": "orb", "transform_model": "affine", "tile_size": 256})
     summary = pipeline.run(spark, str(folder), str(out), config, events.append)
-    assert (summary.frames_accepted, summary.frames_rejected) == (6, 0) and summary.mean_reprojection_error < 3 and summary.total_inliers > 100
+    assert (summary.frames_accepted, summary.frames_rejected) == (6, 0) and summary.mean_reprojection_error < 3 and summary.total_inliers_found > 100
     content = (out / "orthomosaic.tif").read_bytes()
     head = raster.read_header(content)
     assert head["epsg"] == 32611 and head["bands"] == 4 and head["width"] > 200 and head["height"] > 200
@@ -122,3 +122,14 @@ def test_streamed_tiles_are_labelled(spark, tmp_path):
     query.awaitTermination()
     rows = spark.table("labels").groupBy("run", "event").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {(r["run"], r.event): r.n for r in rows} == {("a", "first_tile"): 1, ("a", "tile_written"): 2, ("b", "first_tile"): 1}
+
+
+def test_turned_frames_are_read_upright(spark, tmp_path):
+    image = np.arange(4 * 6 * 3, dtype=np.uint8).reshape(4, 6, 3)
+    (tmp_path / "a.png").write_bytes(png_with(image))
+    (tmp_path / "b.PNG").write_bytes(png_with(image))
+    (tmp_path / "c.txt").write_text("no image")
+    frames = spark.createDataFrame([("a", 6), ("b", 1)], "frame_id string, orientation int")
+    got = {r.frame_id: r for r in images.upright(images.read_pixels(spark, str(tmp_path)), frames).collect()}
+    one, two = (np.frombuffer(got[f].data, np.uint8).reshape(got[f].height, got[f].width, 3) for f in "ab")
+    assert one.shape == (6, 4, 3) and np.array_equal(one, np.rot90(two, -1))
