@@ -13,10 +13,13 @@ HOT = 512
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Use the cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is named, as in tests."""
+    """Use the cluster's shared folder (spark.checkpoint.dir); a temporary one only on a single machine, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     parsed = lines.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
 
     said = parsed.select(*key, F.explode(passages(F.col("lines"), F.col("starts"))).alias("s"))
-    said = said.select(*key, F.split_part("s", F.lit(":"), F.lit(1)).cast("int").alias("level"), F.split_part("s", F.lit(":"), F.lit(2)).cast("long").alias("h"))
+    said = cut(said.select(*key, F.split_part("s", F.lit(":"), F.lit(1)).cast("int").alias("level"), F.split_part("s", F.lit(":"), F.lit(2)).cast("long").alias("h")))
     own = said.filter("level = 0")
     here = own.groupBy("conv_id", "h").agg(F.min(F.struct("turn", "part")).alias("near"))
     first = own.groupBy("h").agg(F.min(F.struct(*key)).alias("first"))

@@ -29,7 +29,8 @@ HEX = r"[0-9a-f]{16,}"
 RULES = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
 RULE_VERSION = "base-1"
 
-#: Unseen blobs are broadcast to the texts up to this number (64 bytes each); beyond it texts are combined and shuffled first.
+#: Unseen blobs, or else those seen before, are broadcast to the texts up to this number (64 bytes each); beyond it texts are
+#: combined, shuffled and joined.
 BROADCAST_BLOBS = 100_000
 
 LEDGER = "blob string, rule_version string, n_assign long, n_access long, n_hex long, spans string"
@@ -76,13 +77,19 @@ def known(ledger: DataFrame, rule_version: str) -> DataFrame:
 def update(versions: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
     """The ledger with the blobs of versions that it lacked at this rule version, scanned."""
     ledger = empty_ledger(versions.sparkSession) if ledger is None else ledger
-    seen = versions.select(_blob(text_col).alias("blob")).distinct()
+    seen = cut(versions.select(_blob(text_col).alias("blob")).distinct())
     unseen = cut(seen.join(known(ledger, rule_version).select("blob"), "blob", "left_anti"))
-    texts = versions.select(_blob(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if unseen.count() <= BROADCAST_BLOBS:
-        contents = texts.join(F.broadcast(unseen), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+    n_seen, n_unseen = seen.count(), unseen.count()
+    texts = versions.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    blob = F.sha2("text", 256)
+    if n_unseen <= BROADCAST_BLOBS:
+        contents = texts.withColumn("blob", blob).join(F.broadcast(unseen), "blob", "left_semi").select("text").distinct()
+    elif n_seen - n_unseen <= BROADCAST_BLOBS:
+        held = F.broadcast(seen.join(unseen, "blob", "left_anti"))
+        contents = texts.withColumn("blob", blob).join(held, "blob", "left_anti").select("text").distinct()
     else:
-        contents = texts.groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob", "left_semi")
+        contents = texts.distinct().withColumn("blob", blob).join(unseen, "blob", "left_semi").select("text")
+    contents = contents.withColumn("blob", blob)
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     fresh = unseen.join(scan(contents), "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), *(count(f"n_{name}") for name, *_ in RULES), F.coalesce("spans", F.lit("")).alias("spans"))
     return ledger.unionByName(cut(fresh))

@@ -32,7 +32,9 @@ def test_equals_brute_force(spark, monkeypatch, limit):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(r.spans.count(k) for k in ("assign", "access", "hex"))
 
 
-def test_only_unseen_blobs_are_scanned(spark):
+@pytest.mark.parametrize("limit", [100_000, 1, 0])
+def test_only_unseen_blobs_are_scanned(spark, monkeypatch, limit):
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", limit)
     first = spark.createDataFrame([("a", TEXTS[4]), ("b", TEXTS[8])], "path string, text string")
     found, ledger = secrets.scan_incremental(first, path_col="path")
     assert ledger.count() == 2 and found.count() == 2
