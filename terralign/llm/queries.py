@@ -106,6 +106,18 @@ k AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_
 SELECT doc_id, size, source_size, target, least((floor(rate * (k + 1) + u) - floor(rate * k + u))::BIGINT, 2) * size AS taken FROM k
 """
 
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents WHERE doc_id IS NOT NULL),
+l AS (SELECT doc_id, len(w) AS size FROM d),
+s AS (SELECT count(*)::DOUBLE AS rows, sum(size)::DOUBLE / count(*) AS mean FROM l),
+t AS (SELECT doc_id, g, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(w) AS g FROM d) GROUP BY 1, 2),
+f AS (SELECT g, count(*) AS df FROM t GROUP BY 1),
+q AS (SELECT t.doc_id AS query_id, g, t.n * ln(1 + (s.rows - df + 0.5) / (df + 0.5)) AS w FROM t JOIN f USING (g), s WHERE t.doc_id % 20 = 0 AND df > 1),
+c AS (SELECT query_id, t.doc_id, round(sum(w * (t.n * 2.2 / (t.n + 1.2 * (0.25 + 0.75 * size / mean)))), 6) AS score
+  FROM q JOIN t ON t.g = q.g AND t.doc_id <> q.query_id JOIN l ON l.doc_id = t.doc_id, s GROUP BY 1, 2)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0 QUALIFY rank <= 10
+"""
+
 OP7_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
@@ -129,4 +141,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": OP2_SQL, "op3_source_mix": OP3_SQL, "op7_near_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_secret_scan": OP2_SQL, "op3_source_mix": OP3_SQL, "op6_top_k_search": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL}

@@ -100,3 +100,33 @@ def test_no_trusted_rows_and_empty_table(spark):
     labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.accepted for r in quality.score(docs, labels).collect()} == {1: True, 2: False}
     assert quality.score(docs.limit(0), labels).count() == 0
+
+
+def test_whole_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    trusted = {r.doc_id for r in labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").collect()} & set(rows)
+    apart = held_back(spark, trusted)
+    logp = brute([rows[i].text for i in trusted - apart if rows[i].text])
+    nll = {i: -sum(map(logp, runs(r.text))) / len(r.text) for i, r in rows.items() if r.text}
+    wide = {i: max(1.0, math.sqrt(quality.SHORT / len(rows[i].text))) for i in nll}
+
+    def quantile(values, p):
+        return sorted(values)[max(1, math.ceil(p * len(values) - 1e-9)) - 1]
+
+    def bounds(ids, lang):
+        ids = [i for i in ids if i in nll]
+        own = [i for i in ids if rows[i].lang == lang] or ids
+        mid = quantile([nll[i] for i in own], 0.5)
+        far = [(nll[i] - mid) / wide[i] for i in own]
+        return mid, quantile(far, 0.01), quantile(far, 0.99)
+
+    good = set()
+    for i in nll:
+        sides = [bounds(ids, rows[i].lang) for ids in (apart, trusted)]
+        low = min(mid + quality.SLACK * a * wide[i] for mid, a, _ in sides)
+        high = max(mid + quality.SLACK * b * wide[i] for mid, _, b in sides)
+        if low <= nll[i] <= high:
+            good.add(i)
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == good

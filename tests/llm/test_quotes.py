@@ -1,3 +1,9 @@
+import itertools
+import re
+from collections import Counter
+
+import regex
+
 from terralign.llm import quotes
 
 
@@ -52,3 +58,45 @@ def test_many_lines_in_a_message(spark):
 
 def test_empty_table(spark):
     assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_whole_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    frame = spark.read.parquet(f"{sf}/conversations.parquet")
+    got = {(r.conv_id, r.turn, r.role, r.text): (r.reply_conv, r.reply_turn, r.root_conv, r.root_turn, r.depth, r.n_quoted, r.n_linked) for r in quotes.link(frame).collect()}
+    messages = {}
+    for r in frame.collect():
+        messages[r.conv_id, r.turn, r.role, r.text] = [(re.match(r"(?: {0,3}>)*", x)[0].count(">"), re.sub(r"^(?: {0,3}>)+", "", x).strip(" ")) for x in re.split(r"\r?\n", r.text or "")]
+    assert len({m[:2] for m in messages}) == len(messages)
+
+    def normal(text):
+        return regex.sub(r"^[\s\p{P}]+|[\s\p{P}]+$", "", re.sub(r"\s+", " ", text.lower()))
+
+    def said(lines):
+        runs = [(k, [c for _, c in g]) for k, g in itertools.groupby(lines, key=lambda x: x[0])]
+        every = [*lines, *((k, " ".join(c)) for k, c in runs if len(c) > 1)]
+        return {(k, normal(c)) for k, c in every} - {(k, "") for k, _ in every}
+
+    here, first = {}, {}
+    for (conv, turn, *_), lines in messages.items():
+        for level, text in said(lines):
+            if level == 0:
+                here[conv, text] = min(here.get((conv, text), turn), turn)
+                first[text] = min(first.get(text, (conv, turn)), (conv, turn))
+    reply, counts = {}, {}
+    for (conv, turn, *_), lines in messages.items():
+        votes, quoted = Counter(), [x for x in said(lines) if x[0]]
+        for level, text in quoted:
+            if here.get((conv, text), turn) < turn:
+                votes[-level, (conv, here[conv, text])] += 1
+            elif text in first and first[text] < (conv, turn):
+                votes[-level, first[text]] += 1
+        best = max(((level, n, source) for (level, source), n in votes.items()), default=None)
+        reply[conv, turn] = best[2] if best else (conv, turn - 1) if any(m[:2] == (conv, turn - 1) for m in messages) else None
+        counts[conv, turn] = (len(quoted), sum(votes.values()))
+    assert len(got) == len(messages)
+    for (conv, turn, *_), row in got.items():
+        top, depth = (conv, turn), 0
+        while reply[top]:
+            top, depth = reply[top], depth + 1
+        assert row == (*(reply[conv, turn] or (None, None)), *top, depth, *counts[conv, turn])
