@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,19 @@ def test_a_cell_of_white_space_is_picked(spark):
     rows = spark.createDataFrame([("  ", "5"), ("", "5"), (None, "5"), ("4", "5"), ("", "")], "a string, b string")
     got = [r.n for r in rows.select(fr.number(fr.first_filled(F.col("a"), F.col("b"))).alias("n")).collect()]
     assert got == [None, 5.0, 5.0, 4.0, None]
+
+
+def test_a_large_survey_is_solved():
+    rng = np.random.default_rng(2)
+    side, n = 30, 900
+    at = np.stack([np.arange(n) % side * 100.0, np.arange(n) // side * 80.0], 1)
+    off = at + rng.normal(0, 3, at.shape)
+    frames = pd.DataFrame({"frame_id": [str(k) for k in range(n)], "easting": off[:, 0] * 0.1, "northing": -off[:, 1] * 0.1, "yaw": 0.0, "width": 320, "height": 240})
+    pairs = []
+    for k in range(n):
+        for m in (k + 1, k + side):
+            if m < n and (m != k + 1 or m % side):
+                pairs.append((str(k), str(m), [1, 0, at[k, 0] - at[m, 0], 0, 1, at[k, 1] - at[m, 1], 0, 0, 1.0], 0.9))
+    p, _ = solve.solve(frames, pd.DataFrame(pairs, columns=["source_id", "target_id", "matrix", "inlier_ratio"]), 0.1)
+    got = p[:, :2] - p[:, :2].mean(0)
+    assert np.abs(got - (at - at.mean(0))).max() < 1.0 and np.abs(p[:, 3] - 1).max() < 0.01
