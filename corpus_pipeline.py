@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terralign.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from terralign.llm.common import checkpoint_folder
+from terralign.llm.common import checkpoint_folder, delete_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what is between two stages lies as Parquet in the shared checkpoint folder."""
+    """All stages over documents; what is between two stages lies as Parquet in the shared checkpoint folder.
+
+    A stage's rows are deleted once the next one's are written; those that the last stage reads stay.
+    """
     checkpoint_folder(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -62,5 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{i}")
+            if i:
+                delete_folder(spark, f"{folder}/{i - 1}")
             docs = spark.read.parquet(f"{folder}/{i}")
     return docs

@@ -22,6 +22,12 @@ def checkpoint_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there, so that a lost executor costs no more than its own tasks."""
     checkpoint_folder(df.sparkSession)
