@@ -122,3 +122,31 @@ def dms_to_degrees(dms: Column, ref: Column) -> Column:
 
 def normalised_yaw(yaw: Column) -> Column:
     return F.pmod(yaw.cast("double"), F.lit(360.0))
+
+
+def checked_position(lat: Column, lon: Column) -> Column:
+    """The position as a struct (lat, lon); an error for a latitude beyond 90 or a longitude beyond 180 degrees."""
+    wrong = lambda c, what: F.raise_error(F.concat(F.lit(f"{what} out of range: "), c.cast("string")))
+    far = lambda c, limit: ~c.between(-limit, limit)
+    return F.when(far(lat, 90.0), wrong(lat, "latitude")).when(far(lon, 180.0), wrong(lon, "longitude")).otherwise(F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
+def _box(west: Column, south: Column, east: Column, north: Column, what: str) -> Column:
+    """A box as a struct; an error where there was nothing to bound, or where it has no area."""
+    box = F.struct(west.alias("west"), south.alias("south"), east.alias("east"), north.alias("north"))
+    empty = F.raise_error(F.lit(f"at least one {what} is required"))
+    return F.when(west.isNull(), empty).when((west >= east) | (south >= north), F.raise_error(F.lit("bounds must have positive width and height"))).otherwise(box)
+
+
+def positions_box(lat: Column, lon: Column, around: float = 0.0001) -> Column:
+    """The box of all positions (an aggregate), with a margin in degrees."""
+    at = checked_position(lat, lon)
+    x, y = at["lon"], at["lat"]
+    return _box(F.min(x) - around, F.min(y) - around, F.max(x) + around, F.max(y) + around, "geotagged frame")
+
+
+def projected_box(x: Column, y: Column, padding_m: float = 0.0) -> Column:
+    """The box of all projected points (an aggregate), with a margin in metres; ValueError for a negative one."""
+    if padding_m < 0:
+        raise ValueError("the padding must not be negative")
+    return _box(F.min(x) - padding_m, F.min(y) - padding_m, F.max(x) + padding_m, F.max(y) + padding_m, "projected point")

@@ -15,11 +15,15 @@ from .functions import frames as fr
 from .functions import geo
 from .monitor import Monitor, RunSummary
 from .operators import matching, mosaic, plan, solve
-from .sinks import files, products, raster
+from .sinks import files, manifests, products, raster
 from .sources import images
 from .sources.checkpoints import use_checkpoints
 
 
+#: The longest side of mosaic.jpg, which is put together on the driver from an overview.
+PREVIEW = 4096
+
+
 def plan_frames(accepted: DataFrame) -> DataFrame:
     """Accepted frames with UTM position, ground resolution and heading, in order of path."""
     one = plan.project_utm(accepted.withColumn("flight_id", F.lit(0)), ["flight_id"])
@@ -93,6 +97,10 @@ def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = N
                 factor *= 2
             summary.output_cog_bytes = files.write_bytes(spark, f"{out}/orthomosaic_cog.tif", raster.assemble(levels, corner.epsg, left, top, ground))
             manifest["cog"] = "orthomosaic_cog.tif"
+        preview, w, h = tiles, box.width_px, box.height_px
+        while max(w, h) > PREVIEW:
+            preview, w, h = products.halved(preview, config.tile_size).checkpoint(), max(1, w // 2), max(1, h // 2)
+        files.write_jpeg(spark, f"{out}/mosaic.jpg", raster.png(products.picture(preview, w, h)))
         if config.generate_tiles:
             least, most = spark.range(1).select(*geo.zoom_range(F.lit(ground))).first()
             zooms = range(config.tile_min_zoom or least, (config.tile_max_zoom or most) + 1)
@@ -107,6 +115,12 @@ def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = N
         files.write_json(spark, f"{out}/pair_transforms.json", {"pairs": [pair_record(t) for t in transforms.orderBy("source_id", "target_id").toLocalIterator()]})
         files.write_json(spark, f"{out}/canvas.json", {"crs": manifest["crs"], "left": left, "top": top, "pixel_size": ground, "width": box.width_px, "height": box.height_px, "gsd": ground, "source_dataset": summary.dataset_name})
         files.write_json(spark, f"{out}/manifest.json", manifest)
+        facts = manifests.raster_manifest(
+            dataset=summary.dataset_name, source=folder, crs=manifest["crs"], bounds=manifest["bounds"], width=box.width_px, height=box.height_px, pixel_size_x=ground, pixel_size_y=ground, count=4, dtype="uint8",
+            geotiff_path=f"{out}/orthomosaic.tif", cog_path=f"{out}/orthomosaic_cog.tif" if "cog" in manifest else None, geotiff_bytes=summary.output_geotiff_bytes, cog_bytes=summary.output_cog_bytes or None,
+        )
+        files.write_json(spark, f"{out}/raster_manifest.json", facts)
+        files.write_json(spark, f"{out}/phase2_manifest.json", manifests.product_manifest(summary.run_id, facts, around, manifest.get("tiles")))
     except BaseException:
         monitor.stop()
         raise

@@ -53,6 +53,16 @@ def halved(tiles: DataFrame, tile: int) -> DataFrame:
     return tiles.groupBy(F.floor(F.col("row") / 2), F.floor(F.col("col") / 2)).applyInPandas(merge, "row long, col long, x0 long, y0 long, width long, height long, rgba binary").filter("width > 0 AND height > 0")
 
 
+def picture(tiles: DataFrame, width: int, height: int) -> np.ndarray:
+    """Tiles as one image (height, width, 4) on the driver: for previews, whose size the caller bounds."""
+    out = np.zeros((height, width, 4), np.uint8)
+    for r in tiles.select("x0", "y0", "width", "height", "rgba").toLocalIterator():
+        h, w = min(r.height, height - r.y0), min(r.width, width - r.x0)
+        if h > 0 and w > 0:
+            out[r.y0 : r.y0 + h, r.x0 : r.x0 + w] = np.frombuffer(r.rgba, np.uint8).reshape(r.height, r.width, 4)[:h, :w]
+    return out
+
+
 def to_utm(lat: np.ndarray, lon: np.ndarray, epsg: int) -> tuple[np.ndarray, np.ndarray]:
     """geo.to_utm for arrays."""
     south = epsg >= 32700

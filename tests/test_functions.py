@@ -213,3 +213,24 @@ def test_a_large_survey_is_solved():
     p, _ = solve.solve(frames, pd.DataFrame(pairs, columns=["source_id", "target_id", "matrix", "inlier_ratio"]), 0.1)
     got = p[:, :2] - p[:, :2].mean(0)
     assert np.abs(got - (at - at.mean(0))).max() < 1.0 and np.abs(p[:, 3] - 1).max() < 0.01
+
+
+def test_positions_and_boxes_are_checked(spark):
+    rows = spark.createDataFrame([(19.0, 73.0), (20.0, 74.0)], "lat double, lon double")
+    box = rows.agg(geo.positions_box(F.col("lat"), F.col("lon")).alias("b")).first().b
+    assert (box.west, box.north) == pytest.approx((72.9999, 20.0001))
+    for bad, what in (([(91.0, 0.0)], "latitude out of range"), ([(0.0, -181.0)], "longitude out of range"), ([], "at least one geotagged frame")):
+        with pytest.raises(Exception, match=what):
+            spark.createDataFrame(bad, "lat double, lon double").agg(geo.positions_box(F.col("lat"), F.col("lon"))).collect()
+    with pytest.raises(Exception, match="positive width and height"):
+        rows.limit(1).agg(geo.projected_box(F.col("lon"), F.col("lat"))).collect()
+    with pytest.raises(ValueError):
+        geo.projected_box(F.col("lon"), F.col("lat"), -1.0)
+
+
+def test_rasters_without_place_are_refused():
+    from terralign.sinks import manifests
+
+    for facts in ({"crs": "", "pixel_size_x": 1.0, "pixel_size_y": 1.0}, {"crs": "EPSG:4326", "pixel_size_x": 0.0, "pixel_size_y": 1.0}):
+        with pytest.raises(ValueError):
+            manifests.raster_manifest(**facts)

@@ -62,8 +62,9 @@ def test_run_writes_all_products(spark, folder, tmp_path):
     manifest = json.loads((out / "manifest.json").read_text())
     assert manifest["tiles"]["tile_count"] == len(list((out / "tiles").rglob("*.png"))) > 0
     assert [e["event"] for e in events][0] == "first_tile" and events[-1]["bytes"] == len(content)
-    for name in ("poses.json", "pair_transforms.json", "canvas.json", "metrics.json", "report.md", "metrics.csv"):
+    for name in ("poses.json", "pair_transforms.json", "canvas.json", "metrics.json", "report.md", "metrics.csv", "mosaic.jpg", "raster_manifest.json", "phase2_manifest.json"):
         assert (out / name).exists()
+    assert (out / "mosaic.jpg").read_bytes()[:2] == b"\xff\xd8" and json.loads((out / "phase2_manifest.json").read_text())["contract"]["canvas"] == "canvas.json"
     poses = {p["frame_id"]: p for p in json.loads((out / "poses.json").read_text())["poses"]}
     assert poses["frame_002"]["x"] - poses["frame_001"]["x"] == pytest.approx(128, abs=6) and poses["frame_004"]["y"] - poses["frame_001"]["y"] == pytest.approx(96, abs=6)
 
