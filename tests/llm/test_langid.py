@@ -34,3 +34,12 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.identify(docs, F.lit(True)).collect()] == ["und"]
     assert langid.identify(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    from terralign.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = [r for r in queries.op1_language_id(spark, sf).collect() if r.held_out and truth[r.doc_id]]
+    assert len(rows) > 20 and sum(r.lang_pred == truth[r.doc_id] for r in rows) >= 0.95 * len(rows)
