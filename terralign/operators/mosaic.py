@@ -87,14 +87,43 @@ def _compose(radius: int):
     return of
 
 
+def reach(m: np.ndarray, tile: tuple[float, float, float, float], width: int, height: int, margin: int = 2) -> tuple[int, int, int, int]:
+    """The part (left, top, right, bottom) of a frame that a tile (x0, y0, x1, y1) shows; the whole frame where the tile crosses the
+    transform's horizon."""
+    x0, y0, x1, y1 = tile
+    at = np.linalg.inv(m) @ np.array([[x0, x1, x1, x0], [y0, y0, y1, y1], [1.0, 1.0, 1.0, 1.0]])
+    if not (np.all(at[2] > 1e-12) or np.all(at[2] < -1e-12)):
+        return 0, 0, width, height
+    x, y = at[0] / at[2], at[1] / at[2]
+    left, top = max(0, int(np.floor(x.min())) - margin), max(0, int(np.floor(y.min())) - margin)
+    return left, top, max(left, min(width, int(np.ceil(x.max())) + margin)), max(top, min(height, int(np.ceil(y.max())) + margin))
+
+
+CROP = "row long, col long, frame_id string, matrix array<double>, gain double, width int, height int, channels int, data binary"
+
+
+def _crops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each frame and the tiles over it, the pixels that each tile shows, with the transform moved to them."""
+    names = [c.split()[0] for c in CROP.split(", ")]
+    for b in batches:
+        for r in b.itertuples():
+            image, m = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels), np.array(r.matrix).reshape(3, 3)
+            for t in r.tiles:
+                left, top, right, bottom = reach(m, (t["x0"], t["y0"], t["x1"], t["y1"]), r.width, r.height)
+                if right > left and bottom > top:
+                    moved = m @ np.array([[1, 0, left], [0, 1, top], [0, 0, 1.0]])
+                    part = np.ascontiguousarray(image[top:bottom, left:right])
+                    yield pd.DataFrame([(t["row"], t["col"], r.frame_id, moved.ravel().tolist(), r.gain, right - left, bottom - top, r.channels, part.tobytes())], columns=names)
+
+
 TILE = "row long, col long, x0 long, y0 long, width long, height long, rgba binary, is_empty boolean, skipped int"
 
 
 def compose_tiles(images: DataFrame, poses: DataFrame, size: int = 2048, radius: int = 25, gains: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The tiles of the mosaic (red first, with alpha), and the one row of its canvas.
 
-    A frame goes to the tiles that its box touches and nowhere else; a task holds one tile and the frames over it. Feather
-    weights are those of the mask cut to the tile. Frames whose pixels are missing are counted in `skipped`.
+    A frame goes to the tiles that its box touches and nowhere else, and of its pixels only those that the tile shows; a task
+    holds one tile and these parts. Feather weights are those of the mask cut to the tile.
     """
     known = poses.join(images.select("frame_id", "width", "height"), "frame_id").select("frame_id", "matrix", "width", "height")
     boxes = compose.frame_boxes(known)
@@ -106,5 +135,6 @@ def compose_tiles(images: DataFrame, poses: DataFrame, size: int = 2048, radius:
     moved = known.join(corner, F.lit(True)).select("frame_id", F.array(*(m(i) - (F.col("min_x") * m(6 + i) if i < 3 else F.col("min_y") * m(3 + i) if i < 6 else F.lit(0.0)) for i in range(9))).alias("matrix"))
     full = images.join(moved, "frame_id")
     full = full.join(gains.select("frame_id", "gain"), "frame_id", "left").withColumn("gain", F.coalesce("gain", F.lit(1.0))) if gains is not None else full.withColumn("gain", F.lit(1.0))
-    dealt = grid.join(over, ["row", "col"], "left").join(full.select("frame_id", "matrix", "gain", F.col("width"), F.col("height"), "channels", "data"), "frame_id", "left")
-    return dealt.groupBy("row", "col").applyInPandas(_compose(radius), TILE), canvas
+    wanted = over.join(grid, ["row", "col"]).groupBy("frame_id").agg(F.collect_list(F.struct("row", "col", "x0", "y0", "x1", "y1")).alias("tiles"))
+    crops = full.join(wanted, "frame_id").select("frame_id", "matrix", "gain", "width", "height", "channels", "data", "tiles").mapInPandas(_crops, CROP)
+    return grid.join(crops, ["row", "col"], "left").groupBy("row", "col").applyInPandas(_compose(radius), TILE), canvas

@@ -234,3 +234,18 @@ def test_rasters_without_place_are_refused():
     for facts in ({"crs": "", "pixel_size_x": 1.0, "pixel_size_y": 1.0}, {"crs": "EPSG:4326", "pixel_size_x": 0.0, "pixel_size_y": 1.0}):
         with pytest.raises(ValueError):
             manifests.raster_manifest(**facts)
+
+
+def test_cropped_frames_warp_alike():
+    from terralign.operators import mosaic
+
+    rng = np.random.default_rng(5)
+    image = rng.integers(0, 255, (60, 80, 3), dtype=np.uint8)
+    for m in (np.array([[1.1, -0.2, 7], [0.3, 0.9, -5], [0, 0, 1.0]]), np.array([[1, 0.1, 3], [0, 1.2, 2], [0.001, 0.0005, 1.0]])):
+        for x0, y0 in ((0, 0), (32, 0), (32, 32)):
+            to = np.array([[1, 0, -x0], [0, 1, -y0], [0, 0, 1.0]])
+            left, top, right, bottom = mosaic.reach(m, (x0, y0, x0 + 32, y0 + 32), 80, 60)
+            whole, mask = pixels.warp(image, to @ m, 32, 32)
+            moved = to @ m @ np.array([[1, 0, left], [0, 1, top], [0, 0, 1.0]])
+            part, mask_part = pixels.warp(np.ascontiguousarray(image[top:bottom, left:right]), moved, 32, 32)
+            assert np.array_equal(mask, mask_part) and np.allclose(whole * mask[..., None], part * mask[..., None], atol=1e-3)
