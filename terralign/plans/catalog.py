@@ -371,6 +371,21 @@ def _(spark, sf_dir):
     return _points(spark, sf_dir).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), r6(F.regr_slope("u", "x")).alias("sx"), r6(F.regr_intercept("u", "x")).alias("tx"), r6(F.regr_slope("v", "y")).alias("sy"), r6(F.regr_intercept("v", "y")).alias("ty"))
 
 
+@query(
+    "pair_fit",
+    """SELECT l_suppkey AS pair_id, count(*) AS num_matches, count(*) FILTER (l_linenumber < 7) AS num_inliers, 'success' AS status,
+      1.1::DOUBLE AS a, 0.0::DOUBLE AS b, 5.0::DOUBLE AS c, 0.0::DOUBLE AS d, 0.9::DOUBLE AS e, (-7.0)::DOUBLE AS f, 0.0::DOUBLE AS error FROM lineitem GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """The robust fit of points whose transform is known; those of line 7 are far off."""
+    x, y, k = F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_suppkey")
+    off = F.when(F.col("l_linenumber") >= 7, 500.0).otherwise(0.0)
+    points = table(spark, sf_dir, "lineitem").select(k.alias("source_id"), (-k).alias("target_id"), x.alias("sx"), y.alias("sy"), (x * 1.1 + 5 + off).alias("tx"), (y * 0.9 - 7 - off).alias("ty"))
+    found = matching.pair_transforms(points, "affine")
+    entries = {c: (r6(F.get("matrix", F.lit(i))) + 0.0).alias(c) for i, c in enumerate("abcdef")}
+    return found.select(F.col("source_id").alias("pair_id"), F.col("num_matches").cast("long"), F.col("num_inliers").cast("long"), "status", *entries.values(), (r6("reprojection_error") + 0.0).alias("error"))
+
+
 @query("reprojection_rmse", f"WITH p AS ({POINTS}) SELECT pair_id, round(coalesce(sqrt(avg(pow(2 * x + 0.04 - u, 2) + pow(3 * y - 0.04 - v, 2)) FILTER (x > 25)), 999.0), 6) AS rmse FROM p GROUP BY 1")
 def _(spark, sf_dir):
     m = affine.matrix(2, 0, 0.04, 0, 3, -0.04, 0, 0, 1)
