@@ -38,6 +38,21 @@ def determinant2(m: Column) -> Column:
     return F.get(m, 0) * F.get(m, 4) - F.get(m, 1) * F.get(m, 3)
 
 
+def _minor(m: Column, i: int, j: int) -> Column:
+    (a, b), (c, d) = ([3 * r + k for k in range(3) if k != j] for r in range(3) if r != i)
+    return F.get(m, a) * F.get(m, d) - F.get(m, b) * F.get(m, c)
+
+
+def determinant(m: Column) -> Column:
+    return F.get(m, 0) * _minor(m, 0, 0) - F.get(m, 1) * _minor(m, 0, 1) + F.get(m, 2) * _minor(m, 0, 2)
+
+
+def inverse(m: Column) -> Column:
+    """The inverse; null or infinite entries where the determinant is 0."""
+    det = determinant(m)
+    return F.array(*((_minor(m, c, r) * (-1) ** (r + c)) / det for r in range(3) for c in range(3)))
+
+
 def scale_and_rotation(m: Column) -> tuple[Column, Column]:
     return F.sqrt(F.get(m, 0) * F.get(m, 0) + F.get(m, 3) * F.get(m, 3)), F.atan2(F.get(m, 3), F.get(m, 0))
 

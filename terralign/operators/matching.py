@@ -4,40 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .nearest import two_nearest
 
-def l2(a: Column, b: Column) -> Column:
-    """Euclidean distance of two arrays of floats."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
 
-
-def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two arrays of long."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
-
-
-def two_nearest(pairs: DataFrame, features: DataFrame, distance, round_to: int | None = None) -> DataFrame:
-    """(source_id, target_id, query, best, d1, d2): for each source feature its two nearest in the target frame.
-
-    features has frame, kp and desc. A pair's features meet by the pair, one row per combination, ranked with a limit of two
-    that is pushed below the shuffle; pairs are bounded by the frames' feature limits.
-    """
-    left = features.select(F.col("frame").alias("source_id"), F.col("kp").alias("query"), F.col("desc").alias("qd"))
-    right = features.select(F.col("frame").alias("target_id"), F.col("kp").alias("train"), F.col("desc").alias("td"))
-    d = distance(F.col("qd"), F.col("td"))
-    met = pairs.join(left, "source_id").join(right, "target_id").select("source_id", "target_id", "query", "train", (F.round(d, round_to) if round_to else d).alias("d"))
-    near = Window.partitionBy("source_id", "target_id", "query").orderBy("d", "train")
-    top = met.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= 2)
-    return top.groupBy("source_id", "target_id", "query").agg(
-        F.max(F.when(F.col("rank") == 1, F.col("train"))).alias("best"), F.max(F.when(F.col("rank") == 1, F.col("d"))).alias("d1"), F.max(F.when(F.col("rank") == 2, F.col("d"))).alias("d2")
-    )
-
-
-def ratio_matches(pairs: DataFrame, features: DataFrame, distance=l2, ratio: float = 0.75, round_to: int | None = None) -> DataFrame:
+def ratio_matches(pairs: DataFrame, features: DataFrame, metric: str = "l2", ratio: float = 0.75, round_to: int | None = None) -> DataFrame:
     """The matches whose nearest is nearer than ratio times the second; a feature without a second one has none."""
-    return two_nearest(pairs, features, distance, round_to).filter(F.col("d1") < ratio * F.col("d2"))
+    return two_nearest(pairs, features, metric, round_to).filter(F.col("d1") < ratio * F.col("d2"))
 
 
 def enough(matches: DataFrame, features: DataFrame, least_features: int = 8, least_matches: int = 6) -> DataFrame:

@@ -6,26 +6,24 @@ over grid cells, so no task holds a whole flight except where an operator says s
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.checkpoints import cut
+from . import greedy, ordered
 
 
 def dominant_crs(frames: DataFrame, by: list[str]) -> DataFrame:
-    """The UTM system of each group, from the upper medians of latitude and longitude.
+    """The UTM system of each group, from the upper medians of latitude and longitude, by selection over range partitions."""
+    medians = [ordered.upper_median(frames, by, name, f"median_{name}") for name in ("lat", "lon")]
+    return medians[0].join(medians[1], by).withColumn("epsg", geo.utm_epsg(F.col("median_lat"), F.col("median_lon")))
 
-    The medians come from counts of distinct positions, not from collected groups: a running count finds the middle one.
-    """
-    out = None
-    for name in ("lat", "lon"):
-        per = frames.filter(F.col(name).isNotNull()).groupBy(*by, name).agg(F.count(F.lit(1)).alias("n"))
-        every, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
-        middle = per.withColumn("all", F.sum("n").over(every)).withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") > F.floor(F.col("all") / 2))
-        middle = middle.groupBy(*by).agg(F.min(name).alias(f"median_{name}"))
-        out = middle if out is None else out.join(middle, by)
-    return out.withColumn("epsg", geo.utm_epsg(F.col("median_lat"), F.col("median_lon")))
+
+def target_resolution(frames: DataFrame, factor: float) -> DataFrame:
+    """One row: factor times the median of the ground resolutions above 0, null without any."""
+    middle = ordered.median(frames.filter("gsd > 0"), [], "gsd", "median_gsd")
+    return middle.select((F.col("median_gsd") * factor).alias("target_gsd"))
 
 
 def project_utm(frames: DataFrame, by: list[str]) -> DataFrame:
@@ -37,9 +35,7 @@ def project_utm(frames: DataFrame, by: list[str]) -> DataFrame:
 
 def fill_headings(frames: DataFrame, by: list[str], order: list[str], x: str = "easting", y: str = "northing") -> DataFrame:
     """Fills yaw where it is null: the way to the next frame if that is over 2 m, for the last frame the way from the
-    previous one; else 0. A next frame within 2 m gives 0, the previous one is not asked then."""
-    w = Window.partitionBy(*by).orderBy(*order)
-
+    previous one; else 0. A next frame within 2 m gives 0, the previous one is not asked then. Tracks may be of any length."""
     def way(de: Column, dn: Column) -> Column:
         bearing = F.pmod(F.degrees(F.atan2(de, dn)) + 360.0, F.lit(360.0))
         return F.when(F.hypot(de, dn) > 2.0, bearing)
@@ -47,17 +43,20 @@ def fill_headings(frames: DataFrame, by: list[str], order: list[str], x: str = "
     def usable(a: Column, b: Column) -> Column:
         return F.coalesce((a != 0) & (b != 0), F.lit(False))
 
-    here, there = F.col(x), F.col(y)
-    ahead = usable(here, F.lead(x).over(w))
-    behind = usable(here, F.lag(x).over(w))
-    forward = way(F.lead(x).over(w) - here, F.lead(y).over(w) - there)
-    backward = way(here - F.lag(x).over(w), there - F.lag(y).over(w))
-    guess = F.when(ahead, forward).when(behind, backward)
-    return frames.withColumn("yaw", F.coalesce(F.col("yaw").cast("double"), guess, F.lit(0.0)))
+    def filled(w) -> dict[str, Column]:
+        here, there = F.col(x), F.col(y)
+        ahead = usable(here, F.lead(x).over(w))
+        behind = usable(here, F.lag(x).over(w))
+        forward = way(F.lead(x).over(w) - here, F.lead(y).over(w) - there)
+        backward = way(here - F.lag(x).over(w), there - F.lag(y).over(w))
+        guess = F.when(ahead, forward).when(behind, backward)
+        return {"yaw": F.coalesce(F.col("yaw").cast("double"), guess, F.lit(0.0))}
 
+    return ordered.beside(frames, by, order, [x, y], filled)
 
-def candidate_pairs(frames: DataFrame, reach: float, x: str, y: str, by: list[str]) -> DataFrame:
-    """Directed pairs (a, b, distance) of one group nearer than reach: a grid of cells of that width, each frame looking at
+
+def candidate_pairs(frames: DataFrame, reach: float, x: str, y: str, by: list[str], at_most: bool = False) -> DataFrame:
+    """Directed pairs (a, b, distance) of one group nearer than reach, or at most as far: a grid of cells of that width, each frame looking at
     its own and the eight cells around it, makes the join an equi-join."""
     base = frames.select(*by, "frame_id", F.col(x).alias("x"), F.col(y).alias("y")).withColumns({"cx": F.floor(F.col("x") / reach).cast("long"), "cy": F.floor(F.col("y") / reach).cast("long")})
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
@@ -66,7 +65,7 @@ def candidate_pairs(frames: DataFrame, reach: float, x: str, y: str, by: list[st
     held = base.select(*by, F.col("frame_id").alias("b"), "x", "y", "cx", "cy")
     far = F.sqrt((F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y")))
     pairs = asks.join(held, [*by, "cx", "cy"]).filter(F.col("a") != F.col("b")).withColumn("distance", far)
-    return pairs.filter(F.col("distance") < reach).select(*by, "a", "b", "distance")
+    return pairs.filter(F.col("distance") <= reach if at_most else F.col("distance") < reach).select(*by, "a", "b", "distance")
 
 
 def neighbor_graph(frames: DataFrame, k: int = 6, reach: float = 80.0, x: str = "x", y: str = "y", by: list[str] | None = None) -> DataFrame:
@@ -79,69 +78,57 @@ def neighbor_graph(frames: DataFrame, k: int = 6, reach: float = 80.0, x: str =
 
 
 def flight_edges(frames: DataFrame, order: list[str], reach: float = 120.0) -> DataFrame:
-    """Edges from each frame to the next of its flight if that is within reach."""
-    w = Window.partitionBy("flight_id").orderBy(*order)
-    ahead = frames.select("flight_id", F.col("frame_id").alias("source_id"), F.lead("frame_id").over(w).alias("target_id"), geo.haversine_m(F.col("lat"), F.col("lon"), F.lead("lat").over(w), F.lead("lon").over(w)).alias("distance_m"))
-    return ahead.filter(F.col("distance_m") <= reach)
+    """Edges from each frame to the next of its flight if that is within reach; flights may be of any length."""
+
+    def ahead(w) -> dict[str, Column]:
+        return {"target_id": F.lead("frame_id").over(w), "distance_m": geo.haversine_m(F.col("lat"), F.col("lon"), F.lead("lat").over(w), F.lead("lon").over(w))}
+
+    every = ordered.beside(frames, ["flight_id"], order, ["frame_id", "lat", "lon"], ahead)
+    return every.filter(F.col("distance_m") <= reach).select("flight_id", F.col("frame_id").alias("source_id"), "target_id", "distance_m")
 
 
 def expanded_reach(frames: DataFrame, reach: float, x: str, y: str, by: list[str]) -> DataFrame:
-    """(by, isolated, helped, reach): 1.5 times the reach where some frame is alone within it and some alone frame isn't within that."""
-    wide = candidate_pairs(frames, 1.5 * reach, x, y, by).groupBy(*by, "a").agg(F.min("distance").alias("nearest"))
+    """(by, isolated, helped, reach): 1.5 times the reach where some frame has no other within the reach (isolated) and some
+    frame, alone or not, has one within 1.5 times the reach (helped). Both limits are included."""
+    wide = candidate_pairs(frames, 1.5 * reach, x, y, by, at_most=True).groupBy(*by, "a").agg(F.min("distance").alias("nearest"))
     every = frames.select(*by, F.col("frame_id").alias("a")).join(wide, [*by, "a"], "left")
-    alone = F.coalesce(F.col("nearest") >= reach, F.lit(True))
-    counted = every.groupBy(*by).agg(F.count_if(alone).alias("isolated"), F.count_if(alone & F.col("nearest").isNotNull()).alias("helped"))
+    alone = F.coalesce(F.col("nearest") > reach, F.lit(True))
+    counted = every.groupBy(*by).agg(F.count_if(alone).alias("isolated"), F.count_if(F.col("nearest").isNotNull()).alias("helped"))
     return counted.withColumn("reach", F.when((F.col("isolated") > 0) & (F.col("helped") > 0), 1.5 * reach).otherwise(float(reach)))
 
 
-def _greedy(cap: int):
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Flight edges first and without a cap; then frames in order, their candidates by distance, while both have room."""
-        degree: dict = {}
-        taken: dict = {}
-        pdf = pdf.sort_values(["kind", "pos_a", "rank"], kind="stable")
-        for row in pdf.itertuples(index=False):
-            pair = (min(row.a, row.b), max(row.a, row.b))
-            if pair in taken or (row.kind and (degree.get(row.a, 0) >= cap or degree.get(row.b, 0) >= cap)):
-                continue
-            taken[pair] = row.metres
-            for end in pair:
-                degree[end] = degree.get(end, 0) + 1
-        return pd.DataFrame([(pdf["flight_id"].iloc[0], a, b, d) for (a, b), d in taken.items()], columns=["flight_id", "source_id", "target_id", "distance_m"])
-
-    return pick
-
-
-def capped_graph(frames: DataFrame, order: list[str], reach: float = 120.0, cap: int = 6) -> DataFrame:
-    """The greedy graph with a cap on degrees. The choice depends on the order of all frames of a flight, so a flight's
-    candidate list (2 * cap + 1 a frame at most) is decided by one task; the candidates come from the grid join."""
-    middle = frames.groupBy("flight_id").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
-    w = Window.partitionBy("flight_id").orderBy(*order)
-    placed = frames.withColumn("pos", F.row_number().over(w)).join(middle, "flight_id")
-    px, py = geo.local_plane(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
-    placed = placed.withColumns({"px": px, "py": py})
-    near = Window.partitionBy("a").orderBy("distance", "b")
-    spatial = candidate_pairs(placed, reach, "px", "py", ["flight_id"]).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= 2 * cap).select("flight_id", "a", "b", "rank", F.lit(1).alias("kind"))
-    along = flight_edges(frames, order, reach).select("flight_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.lit(0).alias("rank"), F.lit(0).alias("kind"))
-    spot = lambda s: placed.select(F.col("frame_id").alias(s), F.col("pos").alias(f"pos_{s}"), F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"))
-    every = along.unionByName(spatial).join(spot("a"), "a").join(spot("b"), "b")
-    every = every.withColumn("metres", geo.haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))).select("flight_id", "a", "b", "rank", "kind", "pos_a", "metres")
-    kind = frames.schema["flight_id"].dataType.simpleString()
-    return every.groupBy("flight_id").applyInPandas(_greedy(cap), f"flight_id {kind}, source_id long, target_id long, distance_m double")
-
-
-def placement_levels(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(node, level): how many steps each node is from the start nodes, by joins repeated until no node is new; nodes that no
-    path leads to are left out. Edges go both ways, so a level's neighbours are in it, before it, or new."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    edge = start.select(F.col("node"), F.lit(0).alias("level")).distinct().checkpoint()
-    seen, before, level = edge, edge, 0
-    while not edge.isEmpty():
-        level += 1
-        step = edge.select(F.col("node").alias("a")).join(both, "a").select(F.col("b").alias("node")).distinct().join(before.unionByName(edge), "node", "left_anti")
-        before, edge = edge, step.withColumn("level", F.lit(level)).checkpoint()
-        seen = seen.unionByName(edge)
-        if level % 32 == 0:
-            seen = seen.checkpoint()
-    return seen
+def capped_graph(frames: DataFrame, order: list[str], reach: float = 120.0, cap: int = 6, flight_order: bool = True, expand: bool = True) -> DataFrame:
+    """The greedy graph with a cap on degrees, in order of distance (four digits) and ids within each flight.
 
+    Edges along the flight come first and aren't capped. Then frames in order take their nearest, 2 * cap at most, while
+    both ends have room. With `expand`, a flight in which a frame is alone reaches 1.5 times as far if that helps any frame.
+    Frames without position take no part. The choice is made by `greedy.capped`, so flights may have any number of frames.
+    """
+    known = frames.filter("lat IS NOT NULL AND lon IS NOT NULL").select("flight_id", "frame_id", "lat", "lon", *(c for c in order if c != "frame_id"))
+    known = cut(ordered.ranked(known, ["flight_id"], order))
+    middle = known.groupBy("flight_id").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
+    px, py = geo.local_plane(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"))
+    placed = cut(known.join(middle, "flight_id").withColumns({"px": px, "py": py}))
+    wide = candidate_pairs(placed, 1.5 * reach if expand else reach, "px", "py", ["flight_id"])
+    along = flight_edges(placed, order, 1.5 * reach if expand else reach) if flight_order else None
+    if expand:
+        own = F.broadcast(expanded_reach(placed, reach, "px", "py", ["flight_id"]).filter(F.col("reach") > reach).select("flight_id", F.lit(True).alias("wide")))
+        within = lambda e, c: e.join(own, "flight_id", "left").filter(c(F.when(F.col("wide"), 1.5 * reach).otherwise(float(reach)))).drop("wide")
+        wide = within(wide, lambda r: F.col("distance") < r)
+        along = along and within(along, lambda r: F.col("distance_m") <= r)
+    near = Window.partitionBy("flight_id", "a").orderBy("distance", "pos_b")
+    spot = lambda s: placed.select("flight_id", F.col("frame_id").alias(s), F.col("pos").alias(f"pos_{s}"), F.col("lat").alias(f"lat_{s}"), F.col("lon").alias(f"lon_{s}"))
+    spatial = wide.join(spot("b").select("flight_id", "b", "pos_b"), ["flight_id", "b"]).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= 2 * cap)
+    spatial = spatial.join(spot("a").select("flight_id", "a", "pos_a"), ["flight_id", "a"]).select("flight_id", "a", "b", (F.col("pos_a") * (2 * cap + 1) + F.col("rank")).alias("key"))
+    pair = [F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")]
+    first = along.select("flight_id", F.col("source_id").alias("a"), F.col("target_id").alias("b")).select("flight_id", *pair).distinct() if flight_order else spatial.limit(0).select("flight_id", *pair)
+    first = cut(first)
+    spatial = spatial.select("flight_id", *pair, "key").groupBy("flight_id", "u", "v").agg(F.min("key").alias("key")).join(first, ["flight_id", "u", "v"], "left_anti")
+    place = lambda c, p: placed.select("flight_id", F.col("frame_id").alias(c), F.col("pos").alias(p))
+    edges = spatial.join(place("u", "pu"), ["flight_id", "u"]).join(place("v", "pv"), ["flight_id", "v"]).withColumnRenamed("flight_id", "g")
+    degree = first.select("flight_id", F.explode(F.array("u", "v")).alias("u")).groupBy("flight_id", "u").agg(F.count(F.lit(1)).alias("degree"))
+    nodes = place("u", "pu").join(degree, ["flight_id", "u"], "left").select(F.col("flight_id").alias("g"), "u", "pu", F.coalesce("degree", F.lit(0)).alias("degree"))
+    taken = first.unionByName(greedy.capped(edges, nodes, cap).withColumnRenamed("g", "flight_id")).withColumnsRenamed({"u": "a", "v": "b"})
+    metres = geo.haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    out = taken.join(spot("a"), ["flight_id", "a"]).join(spot("b"), ["flight_id", "b"]).select("flight_id", F.col("a").alias("source_id"), F.col("b").alias("target_id"), metres.alias("distance_m"))
+    return out.orderBy("flight_id", F.round("distance_m", 4), "source_id", "target_id")

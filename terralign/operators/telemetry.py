@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frames as fr
+from . import ordered
 
 
 def stage_durations(log: DataFrame, by: list[str], at: str = "ts", stage: str = "stage") -> DataFrame:
-    """Seconds of each stage: a stage ends when the next entry begins; re-entering overwrites; the last entry isn't timed."""
-    w = Window.partitionBy(*by).orderBy(at, "seq")
-    timed = log.withColumn("seconds", (F.lead(at).over(w).cast("timestamp").cast("double") - F.col(at).cast("timestamp").cast("double"))).filter("seconds IS NOT NULL")
+    """Seconds of each stage: a stage ends when the next entry begins; re-entering overwrites; the last entry isn't timed.
+    Logs may be of any length."""
+    seconds = lambda c: c.cast("timestamp").cast("double")
+    timed = ordered.beside(log, by, [at, "seq"], [], lambda w: {"seconds": seconds(F.lead(at).over(w)) - seconds(F.col(at))}).filter("seconds IS NOT NULL")
     return timed.groupBy(*by, stage).agg(F.max_by("seconds", F.struct(at, "seq")).alias("seconds"))
 
 
@@ -38,13 +40,14 @@ def windows(samples: DataFrame, width: str, at: str, value: str) -> DataFrame:
 
 
 def settled_sessions(arrivals: DataFrame, by: list[str], gap_seconds: int, at: str = "ts") -> DataFrame:
-    """Runs of arrivals in which no pause is longer than the gap: when each began and last grew, and how many came."""
-    w = Window.partitionBy(*by).orderBy(at)
-    pause = F.col(at).cast("timestamp").cast("double") - F.lag(at).over(w).cast("timestamp").cast("double")
-    fresh = F.when(F.coalesce(pause < gap_seconds, F.lit(False)), 0).otherwise(1)
-    marked = arrivals.withColumn("__fresh", fresh)
-    marked = marked.withColumn("session", F.sum("__fresh").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    return marked.groupBy(*by, "session").agg(F.min(at).alias("began"), F.max(at).alias("last"), F.count(F.lit(1)).alias("files"))
+    """Runs of arrivals in which no pause is longer than the gap: when each began and last grew, and how many came.
+    Arrivals of one moment are counted together; series may be of any length."""
+    moments = ordered.dealt(arrivals.groupBy(*by, at).agg(F.count(F.lit(1)).alias("files")), by, [at])
+    seconds = lambda c: c.cast("timestamp").cast("double")
+    fresh = lambda w: F.when(F.coalesce(seconds(F.col(at)) - seconds(F.lag(at).over(w)) < gap_seconds, F.lit(False)), 0).otherwise(1)
+    marked = ordered.beside(moments, by, [at], [], lambda w: {"__fresh": fresh(w)})
+    marked = ordered.running(marked, by, [at], F.col("__fresh"), "session")
+    return marked.groupBy(*by, "session").agg(F.min(at).alias("began"), F.max(at).alias("last"), F.sum("files").alias("files"))
 
 
 def bandwidth_table(sizes: DataFrame, raw: str, out: str, speeds: tuple[float, ...] = (1.0, 5.0, 20.0)) -> DataFrame:

@@ -14,7 +14,8 @@ from .config import RunConfig, build_config
 from .functions import frames as fr
 from .functions import geo
 from .monitor import Monitor, RunSummary
-from .operators import matching, mosaic, plan, solve
+from .operators import matching, mosaic, plan
+from .operators import poses as poses_of
 from .sinks import files, manifests, products, raster
 from .sources import images
 from .sources.checkpoints import use_checkpoints
@@ -64,8 +65,8 @@ def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = N
         summary.total_matches_evaluated, summary.total_inliers_found, summary.mean_inlier_ratio, summary.mean_reprojection_error = found.pairs, found.inliers, found.mean_inlier_ratio, found.mean_error
 
         monitor.set_stage("align")
-        ground = planned.filter("gsd > 0").agg(F.median("gsd")).first()[0] * config.output_resolution_factor
-        poses = solve.solve_poses(planned, transforms, ground, config.gps_prior_weight).checkpoint()
+        ground = plan.target_resolution(planned, config.output_resolution_factor).first()[0]
+        poses = poses_of.solve_poses(planned, transforms, ground, config.gps_prior_weight).checkpoint()
 
         monitor.set_stage("compose")
         gains = mosaic.luminance(decoded).select("frame_id", fr.exposure_gain(F.col("mean")).alias("gain")) if config.exposure_compensation else None

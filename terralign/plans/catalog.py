@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import affine, geo
 from ..functions import frames as fr
-from ..operators import compose, matching, plan, telemetry
+from ..operators import compose, matching, placement, plan, poses, telemetry
 from ..session import table
 from ..sources import contracts, images
+from ..sources.checkpoints import cut
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -228,7 +229,7 @@ def _(spark, sf_dir):
 
 @query("target_gsd", f"WITH c AS ({CAMERAS}), g AS (SELECT {GSD} AS gsd FROM c) SELECT round(median(gsd) * 1.5, 9) AS target_gsd FROM g WHERE gsd > 0")
 def _(spark, sf_dir):
-    return _cameras(spark, sf_dir).filter("gsd > 0").agg(r6(F.median("gsd") * 1.5, 9).alias("target_gsd"))
+    return plan.target_resolution(_cameras(spark, sf_dir), 1.5).select(r6("target_gsd", 9).alias("target_gsd"))
 
 
 XY = "SELECT *, lon * 111320.0 * cos(radians(lat)) AS x, lat * 110540.0 AS y FROM f"
@@ -288,7 +289,7 @@ REACH = f"""WITH f AS ({FRAMES}), p AS ({XY}), d AS (SELECT a.flight_id, a.frame
   g AS (SELECT p.flight_id, p.frame_id, d FROM p LEFT JOIN d ON d.a = p.frame_id)"""
 
 
-@query("radius_expand", REACH + " SELECT flight_id, count(*) FILTER (coalesce(d >= 80, true)) AS isolated, count(*) FILTER (d >= 80 AND d < 120) AS helped, CASE WHEN count(*) FILTER (coalesce(d >= 80, true)) > 0 AND count(*) FILTER (d >= 80 AND d < 120) > 0 THEN 120.0 ELSE 80.0 END::DOUBLE AS reach FROM g GROUP BY 1")
+@query("radius_expand", REACH + " SELECT flight_id, count(*) FILTER (coalesce(d > 80, true)) AS isolated, count(*) FILTER (d <= 120) AS helped, CASE WHEN count(*) FILTER (coalesce(d > 80, true)) > 0 AND count(*) FILTER (d <= 120) > 0 THEN 120.0 ELSE 80.0 END::DOUBLE AS reach FROM g GROUP BY 1")
 def _(spark, sf_dir):
     return plan.expanded_reach(_placed(spark, sf_dir), 80.0, "x", "y", ["flight_id"])
 
@@ -349,7 +350,7 @@ def _(spark, sf_dir):
     f = table(spark, sf_dir, "documents").select(F.col("source").alias("frame"), F.col("doc_id").alias("kp"), F.array(bits).alias("desc"))
     frames = f.select("frame").distinct().filter("frame IS NOT NULL")
     pairs = frames.select(F.col("frame").alias("source_id"), F.lead("frame").over(Window.orderBy("frame")).alias("target_id")).filter("target_id IS NOT NULL")
-    return matching.two_nearest(pairs, f, matching.hamming)
+    return matching.two_nearest(pairs, f, "hamming")
 
 
 @query("keypoint_cap", "SELECT label, vec_id, k FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS k FROM embeddings) WHERE k <= 5")
@@ -455,11 +456,54 @@ def _graph(spark, sf_dir):
 
 @query("placement_levels", f"WITH RECURSIVE g AS ({GRAPH}), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g), w(node, level) USING KEY (node) AS (SELECT min(a), 0 FROM g UNION SELECT u.b, min(w.level) + 1 FROM w JOIN u ON u.a = w.node WHERE u.b NOT IN (SELECT node FROM recurring.w) GROUP BY u.b) SELECT node, level FROM w")
 def _(spark, sf_dir):
-    from ..sources.checkpoints import use_checkpoints
+    graph = _graph(spark, sf_dir).withColumn("g", F.lit(0))
+    first = graph.agg(F.min("a").alias("node")).filter("node IS NOT NULL").withColumn("g", F.lit(0))
+    return placement.levels(graph, first).select("node", "level")
 
-    use_checkpoints(spark)
-    graph = _graph(spark, sf_dir)
-    return plan.placement_levels(graph, graph.agg(F.min("a").alias("node")).filter("node IS NOT NULL"))
+
+TURNS = """e AS (SELECT DISTINCT l_suppkey % 7 AS g, 2 * l_orderkey AS a, 2 * l_partkey + 1 AS b FROM lineitem),
+  m AS (SELECT *, a * 1000003 + b AS number, cos(radians((a * 7 + b * 13) % 360)) AS c, sin(radians((a * 7 + b * 13) % 360)) AS s, (a % 101 - 50)::DOUBLE AS x, (b % 103 - 51)::DOUBLE AS y FROM e),
+  u AS (SELECT g, a, b, number, c, -s AS s, -(c * x + s * y) AS x, s * x - c * y AS y FROM m UNION ALL SELECT g, b, a, number, c, s, x, y FROM m),
+  f AS (SELECT DISTINCT g, unnest([a, b]) AS node FROM e), o AS (SELECT g, min(node) AS node FROM f GROUP BY g)"""
+SPOT = "CASE WHEN {n} % 5 <> 0 THEN 30 + {n} % 1009 / 1e5 END"
+
+
+@query(
+    "placement_transforms",
+    f"""WITH RECURSIVE {TURNS},
+    w(g, node, level, c, s, x, y) USING KEY (g, node) AS (SELECT g, node, 0, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM o UNION
+      SELECT u.g, u.b, min(w.level) + 1, arg_min(w.c * u.c - w.s * u.s, u.number), arg_min(w.s * u.c + w.c * u.s, u.number), arg_min(w.c * u.x - w.s * u.y + w.x, u.number), arg_min(w.s * u.x + w.c * u.y + w.y, u.number)
+      FROM w JOIN u ON u.g = w.g AND u.a = w.node WHERE (u.g, u.b) NOT IN (SELECT (g, node) FROM recurring.w) GROUP BY u.g, u.b),
+    l AS (SELECT f.g, f.node, {SPOT.format(n="f.node")} AS lat, 70 + f.node % 997 / 1e5 AS lon, coalesce({SPOT.format(n="o.node")}, 0) AS lat0, 70 + o.node % 997 / 1e5 AS lon0 FROM f JOIN o ON o.g = f.g)
+    SELECT g, node AS frame_id, 'visual' AS placed, round(c, 6) + 0.0::DOUBLE AS c, round(s, 6) + 0.0::DOUBLE AS s, round(x, 3) + 0.0::DOUBLE AS x, round(y, 3) + 0.0::DOUBLE AS y FROM w
+    UNION ALL SELECT l.g, l.node, 'gps', 1.0, 0.0, round(6371000.0 * radians(lon - lon0) * cos(radians((lat + lat0) / 2)) * 10, 3) + 0.0::DOUBLE, round(-6371000.0 * radians(lat - lat0) * 10, 3) + 0.0::DOUBLE
+    FROM l ANTI JOIN w ON w.g = l.g AND w.node = l.node WHERE lat IS NOT NULL""",
+)
+def _(spark, sf_dir):
+    """Frames placed by turns and shifts along the graph of orders and parts, in seven surveys; the rest by position."""
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 7).alias("g"), (2 * F.col("l_orderkey")).alias("source_id"), (2 * F.col("l_partkey") + 1).alias("target_id")).distinct()
+    a, b = F.col("source_id"), F.col("target_id")
+    turn = F.radians((a * 7 + b * 13) % 360)
+    pairs = edges.select("g", a, b, (a * 1000003 + b).alias("number"), affine.matrix(F.cos(turn), -F.sin(turn), (a % 101 - 50).cast("double"), F.sin(turn), F.cos(turn), (b % 103 - 51).cast("double"), 0, 0, 1).alias("matrix"))
+    n = F.col("frame_id")
+    frames = edges.select("g", F.explode(F.array(a, b)).alias("frame_id")).distinct().withColumns({"lat": F.when(n % 5 != 0, n % 1009 / 1e5 + 30), "lon": n % 997 / 1e5 + 70})
+    entry = lambda i, digits: (r6(F.get("matrix", i), digits) + 0.0)
+    return placement.place(frames, pairs, "g", ["frame_id"]).select("g", "frame_id", "placed", entry(0, 6).alias("c"), entry(3, 6).alias("s"), entry(2, 3).alias("x"), entry(5, 3).alias("y"))
+
+
+@query("pose_solution")
+def _(spark, sf_dir):
+    """Poses of all flights at once, from transforms along the flights and between neighbours that disagree a little with the positions."""
+    frames = plan.fill_headings(plan.project_utm(frames_view(spark, sf_dir), ["flight_id"]), ["flight_id"], ["ts", "frame_id"]).withColumns({"width": F.lit(640), "height": F.lit(480)})
+    frames = cut(frames.select("flight_id", "frame_id", "easting", "northing", F.lit(0.0).alias("yaw"), "width", "height"))
+    pairs = plan.neighbor_graph(frames, 4, 150.0, "easting", "northing", ["flight_id"])
+    side = lambda k, c: frames.select("flight_id", F.col("frame_id").alias(k), F.col("easting").alias(f"e{c}"), F.col("northing").alias(f"n{c}"))
+    met = pairs.join(side("source_id", "s"), ["flight_id", "source_id"]).join(side("target_id", "t"), ["flight_id", "target_id"])
+    off = lambda k: (F.pmod(F.xxhash64("source_id", "target_id", F.lit(k)), F.lit(1000)) / 1000.0 - 0.5) * 4
+    matrix = affine.shift((F.col("es") - F.col("et")) / 0.1 + off(1), (F.col("nt") - F.col("ns")) / 0.1 + off(2))
+    transforms = met.select("flight_id", "source_id", "target_id", matrix.alias("matrix"), F.lit(0.8).alias("inlier_ratio"), F.lit("success").alias("status"))
+    found = poses.solve_poses(frames, transforms, 0.1, survey="flight_id")
+    return found.select("flight_id", "frame_id", *(r6(c, 3).alias(c) for c in ("world_x", "world_y", "rotation", "scale")), "confidence", "connected")
 
 
 @query("gps_fallback", f"WITH f AS ({FRAMES}), p AS ({XY}), m AS (SELECT DISTINCT l_orderkey AS frame_id FROM lineitem), o AS (SELECT x AS x0, y AS y0 FROM p ORDER BY frame_id LIMIT 1) SELECT frame_id, 'visual' AS placed, 0.0::DOUBLE AS tx, 0.0::DOUBLE AS ty FROM p SEMI JOIN m USING (frame_id) UNION ALL SELECT frame_id, 'gps', round((x - x0) * 10, 4), round((y0 - y) * 10, 4) FROM (FROM p ANTI JOIN m USING (frame_id)), o")

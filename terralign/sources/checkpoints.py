@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def use_checkpoints(spark: SparkSession) -> None:
@@ -15,3 +15,9 @@ def use_checkpoints(spark: SparkSession) -> None:
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and goes on from there."""
+    use_checkpoints(df.sparkSession)
+    return df.checkpoint()

