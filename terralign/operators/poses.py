@@ -8,30 +8,32 @@ doesn't help.
 Nothing holds a survey. Edges join the poses of their two frames and give derivatives in Arrow batches; sums over a frame's edges
 are the diagonal blocks of the normal equations, and the edges' cross blocks stay rows. A step comes from conjugate gradients
 in the form with one reduction: a product with the matrix is a join of cross blocks with the vector and a sum by frame, and the
-two scalars of each survey are sums by survey. The preconditioner is block-Jacobi over clusters of CLUSTER frames that lie
-together: a task inverts one cluster's matrix, and a survey that fits a cluster takes one or two rounds.
+scalars of each survey are sums by survey. The preconditioner is block-Jacobi over clusters of CLUSTER frames that lie
+together: a task solves one cluster's equations as if there were no other, so a survey that fits a cluster takes one round.
 
-What rounds read again is kept: poses, derivatives and vectors are checkpointed, cross blocks and inverses are laid out once per
-step by the key that they are joined on.
+What rounds read again is kept: poses, derivatives and vectors are checkpointed, cross blocks are laid out once per step by
+the keys that they are joined on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import affine
-from ..sources.checkpoints import cut
+from ..sources.checkpoints import Scratch, cut
 from . import ordered
 
-CLUSTER = 32
+#: Frames of a cluster at most; a cluster's matrix is dense, 8 MB.
+CLUSTER = 256
 #: Rounds of one step's conjugate gradients, steps, and the relative size at which a residual counts as nothing.
-ROUNDS, STEPS, TOLERANCE = 500, 100, 1e-8
+ROUNDS, STEPS, TOLERANCE = 500, 50, 1e-7
 LOSS = 10.0
 PRIOR = (1.0, 1.0, 50.0, 100.0)
 _UPPER = [(r, c) for r in range(4) for c in range(r, 4)]
@@ -85,31 +87,18 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _inverse(frames: pa.Table, edges: pa.Table) -> pa.Table:
-    """The inverse of a cluster's diagonal and cross blocks."""
-    frames = frames.combine_chunks()
-    names = frames.column("f").to_pylist()
-    place, n = {f: i for i, f in enumerate(names)}, len(names)
-    a = np.zeros((n, 4, n, 4))
-    own = _array(frames.column("own").combine_chunks(), 10)
+def _precondition(rows: pa.Table, edges: pa.Table) -> pa.Table:
+    """rows of a cluster plus z, which solves the cluster's own equations for r."""
+    names, n = rows.column("f").to_pylist(), rows.num_rows
+    place, a = {f: i for i, f in enumerate(names)}, np.zeros((n, 4, n, 4))
+    own = _array(rows.column("own").combine_chunks(), 10)
     for k, (r, c) in enumerate(_UPPER):
         a[np.arange(n), r, np.arange(n), c] = a[np.arange(n), c, np.arange(n), r] = own[:, k]
     if edges.num_rows:
         i, j = (np.array([place[f] for f in edges.column(c).to_pylist()]) for c in ("me", "other"))
         np.add.at(a, (i[:, None, None], np.arange(4)[:, None], j[:, None, None], np.arange(4)), _array(edges.column("block").combine_chunks(), 16).reshape(-1, 4, 4))
-    inverse = np.linalg.inv(a.reshape(4 * n, 4 * n))
-    one = lambda c: frames.column(c).slice(0, 1).combine_chunks()
-    return pa.table({"g": one("g"), "c": one("c"), "names": pa.array([names], pa.list_(pa.string())), "inverse": pa.array([((inverse + inverse.T) / 2).tobytes()], pa.binary())})
-
-
-def _precondition(rows: pa.Table, inverse: pa.Table) -> pa.Table:
-    names = inverse.column("names")[0].as_py()
-    place = {f: i for i, f in enumerate(names)}
-    order = np.array([place[f] for f in rows.column("f").to_pylist()])
-    r = np.zeros((len(names), 4))
-    r[order] = _array(rows.column("r").combine_chunks(), 4)
-    z = (np.frombuffer(inverse.column("inverse")[0].as_py()).reshape(4 * len(names), -1) @ r.ravel()).reshape(-1, 4)
-    rows = rows.append_column("z", pa.chunked_array([_lists(z[order])]))
+    z = np.linalg.solve(a.reshape(4 * n, 4 * n), _array(rows.column("r").combine_chunks(), 4).ravel()).reshape(n, 4)
+    rows = rows.append_column("z", pa.chunked_array([_lists(z)]))
     vector = pa.list_(pa.float64())
     return rows.cast(pa.schema([(f.name, vector if pa.types.is_list(f.type) else f.type) for f in rows.schema]))
 
@@ -145,17 +134,14 @@ def clusters(frames: DataFrame) -> DataFrame:
     box = frames.groupBy("g").agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y), F.lit(1e-9)).alias("wide"))
     cell = lambda v, low: F.floor((v - F.col(low)) / F.col("wide") * 65535).cast("long")
     coded = frames.join(box, "g").withColumn("z", _spread(cell(x, "x0")).bitwiseOR(F.shiftleft(_spread(cell(y, "y0")), 1))).drop("x0", "y0", "wide")
-    ranges = ordered.dealt(coded, ["g"], ["z", "f"])
-    place = F.row_number().over(Window.partitionBy(ordered.PART, "g").orderBy("z", "f")) - 1
-    run = F.floor(place / CLUSTER).cast("long")
-    return ranges.withColumn("c", F.col(ordered.PART).cast("long") * (1 << 40) + run).drop("z", ordered.PART)
+    return ordered.ranked(coded, ["g"], ["z", "f"]).withColumn("c", F.floor((F.col("pos") - 1) / CLUSTER).cast("long")).drop("z", "pos")
 
 
-def linearise(frames: DataFrame, edges: DataFrame, prior: float) -> tuple[DataFrame, DataFrame]:
+def linearise(frames: DataFrame, edges: DataFrame, prior: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows of edges as `_derive` gives them, and frames (g, f, c, start, p) plus own, grad and cost, with the priors' part."""
     side = lambda k: frames.select("g", F.col("f").alias(k), F.col("c").alias(f"c{k}"), F.col("p").alias(f"p{k}"))
     rows = edges.join(side("s"), ["g", "s"]).join(side("t"), ["g", "t"]).select("g", "s", "t", "cs", "ct", "ps", "pt", "m", "size", "weight")
-    rows = cut(rows.mapInArrow(_derive, DERIVED))
+    rows = scratch.keep(rows.mapInArrow(_derive, DERIVED))
     sums = rows.groupBy("g", F.col("me").alias("f")).agg(
         F.array(*(F.sum(F.get("own", k)) for k in range(10))).alias("o"), F.array(*(F.sum(F.get("grad", k)) for k in range(4))).alias("d"), F.sum("cost").alias("e")
     )
@@ -169,74 +155,88 @@ def linearise(frames: DataFrame, edges: DataFrame, prior: float) -> tuple[DataFr
     grad = F.array(*(known("d", k) + scales[k] * robust[k] * far[k] for k in range(4)))
     cost = F.coalesce("e", F.lit(0.0)) + sum((LOSS**2 * F.log1p((x / LOSS) * (x / LOSS)) for x in far), F.lit(0.0))
     whole = frames.select("g", "f", "c", "start", "p").join(sums, ["g", "f"], "left")
-    return rows, cut(whole.select("g", "f", "c", "start", "p", own.alias("own"), grad.alias("grad"), cost.alias("cost")))
+    return rows, scratch.keep(whole.select("g", "f", "c", "start", "p", own.alias("own"), grad.alias("grad"), cost.alias("cost")))
 
 
-def conjugate_gradients(frames: DataFrame, edges: DataFrame) -> DataFrame:
+def conjugate_gradients(frames: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(g, f, x) that solves own x + the sum of block x over edges = grad, for every survey; frames have g, f, c, own and grad."""
     n = max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    inside = edges.filter("c = oc").select("g", "c", "me", "other", "block")
-    kept = frames.select("g", "c", "f", "own").groupBy("g", "c").cogroup(inside.groupBy("g", "c")).applyInArrow(_inverse, "g string, c long, names array<string>, inverse binary")
-    inverse = kept.repartition(n, "g", "c").persist(StorageLevel.MEMORY_AND_DISK)
+    inside = edges.filter("c = oc").select("g", "c", "me", "other", "block").repartition(n, "g", "c").persist(StorageLevel.MEMORY_AND_DISK)
     cross = edges.select("g", F.col("me").alias("to"), F.col("other").alias("f"), "block").repartition(n, "g", "f").persist(StorageLevel.MEMORY_AND_DISK)
     names = ["x", "r", "p", "s"]
     kinds = "g string, c long, f string, own array<double>, " + ", ".join(f"{v} array<double>" for v in [*names, "z"])
     state = frames.select("g", "c", "f", "own", _zero().alias("x"), F.col("grad").alias("r"), _zero().alias("p"), _zero().alias("s"))
-    scalars = None
+    scalars = whole = None
     for _ in range(ROUNDS):
-        z = state.groupBy("g", "c").cogroup(inverse.groupBy("g", "c")).applyInArrow(_precondition, kinds)
+        z = state.groupBy("g", "c").cogroup(inside.groupBy("g", "c")).applyInArrow(_precondition, kinds)
         product = F.array(*(sum((F.get("block", 4 * r + k) * F.get("z", k) for k in range(1, 4)), F.get("block", 4 * r) * F.get("z", 0)) for r in range(4)))
         met = cross.join(z.select("g", "f", "z"), ["g", "f"]).select("g", F.col("to").alias("f"), product.alias("v"))
         met = met.groupBy("g", "f").agg(F.array(*(F.sum(F.get("v", k)) for k in range(4))).alias("v"))
         w = _each(lambda own, far: own + F.coalesce(far, F.lit(0.0)), _symmetric(F.col("own"), F.col("z")), F.col("v"))
-        whole = cut(z.join(met, ["g", "f"], "left").select("g", "c", "f", "own", *names, "z", w.alias("w")))
-        sums = whole.groupBy("g").agg(F.sum(_dot(F.col("r"), F.col("z"))).alias("gamma"), F.sum(_dot(F.col("w"), F.col("z"))).alias("delta"))
+        whole = scratch.keep(z.join(met, ["g", "f"], "left").select("g", "c", "f", "own", *names, "z", w.alias("w")), whole)
+        dots = {"gamma": ("r", "z"), "delta": ("w", "z"), "rr": ("r", "r"), "rw": ("r", "w"), "rs": ("r", "s"), "ww": ("w", "w"), "ws": ("w", "s"), "ss": ("s", "s")}
+        now = whole.groupBy("g").agg(*(F.sum(_dot(F.col(a), F.col(b))).alias(k) for k, (a, b) in dots.items()))
         if scalars is None:
-            now = sums.select("g", F.col("gamma").alias("first"), "gamma", F.lit(0.0).alias("beta"), (F.col("gamma") / F.col("delta")).alias("alpha"))
+            now = now.withColumns({"first": F.col("rr"), "beta": F.lit(0.0), "alpha": F.try_divide("gamma", "delta")})
         else:
-            old = scalars.select(F.col("g").alias("h"), "first", F.col("gamma").alias("before"), F.col("alpha").alias("last"))
-            beta = F.col("gamma") / F.col("before")
-            now = sums.join(old, F.col("g") == F.col("h")).select("g", "first", "gamma", beta.alias("beta"), (F.col("gamma") / (F.col("delta") - beta * F.col("gamma") / F.col("last"))).alias("alpha"))
-        going = (F.col("gamma") > TOLERANCE**2 * F.col("first")) & (F.col("alpha") > 0) & ~F.isnan("alpha")
-        scalars = cut(now.select("g", "first", "gamma", "beta", "alpha", F.coalesce(going, F.lit(False)).alias("going")))
-        on = whole.join(scalars.filter("going").select("g", "alpha", "beta"), "g", "left")
+            old = scalars.select(F.col("g").alias("h"), "first", F.col("gamma").alias("before"), F.col("alpha").alias("last"), F.col("going").alias("went"))
+            now = now.join(old, F.col("g") == F.col("h")).filter("went").withColumn("beta", F.try_divide("gamma", "before"))
+            now = now.withColumn("alpha", F.try_divide(F.col("gamma"), F.col("delta") - F.try_divide(F.col("beta") * F.col("gamma"), F.col("last"))))
+        # the square of the residual behind this round's move along s = w + beta s
+        a, b = F.col("alpha"), F.col("beta")
+        left = F.col("rr") - a * 2 * (F.col("rw") + b * F.col("rs")) + a * a * (F.col("ww") + b * 2 * F.col("ws") + b * b * F.col("ss"))
+        moves = F.coalesce((a > 0) & ~F.isnan(a), F.lit(False))
+        scalars = scratch.keep(now.select("g", "first", "gamma", "beta", "alpha", moves.alias("moves"), (moves & (left > TOLERANCE**2 * F.col("first"))).alias("going")), scalars)
+        on = whole.join(scalars.filter("moves").select("g", "alpha", "beta"), "g", "left")
         along = lambda base, old: _each(lambda a, b: a + F.col("beta") * b, F.col(base), F.col(old))
-        turned = on.withColumns({"p": along("z", "p"), "s": along("w", "s")})
+        turned = on.filter("alpha IS NOT NULL").withColumns({"p": along("z", "p"), "s": along("w", "s")})
         moved = {"x": _each(lambda a, b: a + F.col("alpha") * b, F.col("x"), F.col("p")), "r": _each(lambda a, b: a - F.col("alpha") * b, F.col("r"), F.col("s"))}
-        ends = on.filter("alpha IS NULL").select("g", "c", "f", "own", *names)
-        state = turned.filter("alpha IS NOT NULL").withColumns(moved).select("g", "c", "f", "own", *names).unionByName(ends)
+        state = turned.withColumns(moved).select("g", "c", "f", "own", *names).unionByName(on.filter("alpha IS NULL").select("g", "c", "f", "own", *names))
         if scalars.filter("going").isEmpty():
             break
-    inverse.unpersist()
+    inside.unpersist()
     cross.unpersist()
     return state.select("g", "f", "x")
 
 
-def solve(frames: DataFrame, edges: DataFrame, prior: float = 0.05) -> DataFrame:
-    """(g, f, p) of frames (g, f, start) from edges (g, s, t, m, size, weight), of the surveys that have edges."""
-    frames = cut(clusters(frames.join(edges.select("g").distinct(), "g", "left_semi")).withColumn("p", F.col("start")))
-    edges = cut(edges)
-    rows, whole = linearise(frames, edges, prior)
-    surveys = cut(whole.groupBy("g").agg(F.sum("cost").alias("cost")).select("g", "cost", F.lit(1e-3).alias("damping"), F.lit(True).alias("open")))
+def solve(frames: DataFrame, edges: DataFrame, prior: float, scratch: Scratch) -> DataFrame:
+    """(g, f, p) of frames (g, f, start) from edges (g, s, t, m, size, weight), of the surveys that have edges.
+
+    Every survey takes the same steps as if it were alone; those whose cost no longer falls are put aside.
+    """
+    frames = scratch.keep(clusters(frames.join(edges.select("g").distinct(), "g", "left_semi")).withColumn("p", F.col("start")))
+    edges = scratch.keep(edges)
+    rows, whole = linearise(frames, edges, prior, scratch)
+    surveys = scratch.keep(whole.groupBy("g").agg(F.sum("cost").alias("cost")).withColumn("damping", F.lit(1e-3)))
+    ended = [frames.limit(0).select("g", "f", "p")]
     for _ in range(STEPS):
-        open_ = surveys.filter("open")
-        if open_.isEmpty():
-            break
         diagonal = {i for i, (r, c) in enumerate(_UPPER) if r == c}
         damped = F.array(*((F.get("own", i) + F.col("damping") * (F.get("own", i) + 1e-9)) if i in diagonal else F.get("own", i) for i in range(10)))
-        tried = whole.join(open_.select("g", "damping"), "g")
-        step = conjugate_gradients(cut(tried.select("g", "f", "c", damped.alias("own"), "grad")), rows.join(open_.select("g"), "g", "left_semi"))
-        moved = tried.select("g", "f", "c", "start", "p").join(step, ["g", "f"]).withColumn("p", _each(lambda a, b: a - b, F.col("p"), F.col("x"))).drop("x")
-        new_rows, new_whole = linearise(cut(moved), edges.join(open_.select("g"), "g", "left_semi"), prior)
+        step = conjugate_gradients(whole.join(surveys.select("g", "damping"), "g").select("g", "f", "c", damped.alias("own"), "grad"), rows, scratch)
+        moved = whole.select("g", "f", "c", "start", "p").join(step, ["g", "f"]).withColumn("p", _each(lambda a, b: a - b, F.col("p"), F.col("x"))).drop("x")
+        new_rows, new_whole = linearise(scratch.keep(moved), edges, prior, scratch)
         after = new_whole.groupBy(F.col("g").alias("h")).agg(F.sum("cost").alias("after"))
         better = F.coalesce(F.col("after") <= F.col("cost"), F.lit(False))
-        ended = F.when(better, F.col("cost") - F.col("after") <= 1e-9 * F.greatest(F.col("after"), F.lit(1e-12))).otherwise(F.col("damping") * 10 >= 1e8)
-        told = surveys.join(after, F.col("g") == F.col("h"), "left").withColumn("better", F.col("open") & better)
-        told = cut(told.select("g", F.when(F.col("better"), F.col("after")).otherwise(F.col("cost")).alias("cost"), F.when(F.col("better"), F.greatest(F.col("damping") / 10, F.lit(1e-9))).otherwise(F.col("damping") * 10).alias("damping"), (F.col("open") & ~ended).alias("open"), "better"))
-        won = told.filter("better").select("g")
-        choose = lambda old, new: old.join(won, "g", "left_anti").unionByName(new.join(won, "g", "left_semi"))
-        rows, whole, surveys = cut(choose(rows, new_rows)), cut(choose(whole, new_whole)), told.drop("better")
-    return whole.select("g", "f", "p")
+        done = F.when(better, F.col("cost") - F.col("after") <= 1e-9 * F.greatest(F.col("after"), F.lit(1e-12))).otherwise(F.col("damping") * 10 >= 1e8)
+        told = surveys.join(after, F.col("g") == F.col("h")).select("g", F.when(better, F.col("after")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.greatest(F.col("damping") / 10, F.lit(1e-9))).otherwise(F.col("damping") * 10).alias("damping"), better.alias("better"), done.alias("done"))
+        told = scratch.keep(told)
+        counts = told.agg(F.count_if("better").alias("better"), F.count_if("done").alias("done"), F.count(F.lit(1)).alias("n")).first()
+        if counts.better == counts.n:
+            rows, whole = new_rows, new_whole
+        else:
+            won = told.filter("better").select("g")
+            rows, whole = (scratch.keep(old.join(won, "g", "left_anti").unionByName(new.join(won, "g", "left_semi"))) for old, new in ((rows, new_rows), (whole, new_whole)))
+        surveys = told.select("g", "cost", "damping")
+        if counts.done:
+            over = told.filter("done").select("g")
+            ended.append(scratch.keep(whole.join(over, "g", "left_semi").select("g", "f", "p")))
+            if counts.done == counts.n:
+                break
+            surveys = scratch.keep(told.filter("NOT done").select("g", "cost", "damping"))
+            rows, whole, edges = (scratch.keep(x.join(over, "g", "left_anti")) for x in (rows, whole, edges))
+    else:
+        ended.append(whole.select("g", "f", "p"))
+    return reduce(DataFrame.unionByName, ended)
 
 
 def solve_poses(frames: DataFrame, transforms: DataFrame, gsd: float, prior: float = 0.05, survey: str | None = None) -> DataFrame:
@@ -257,7 +257,9 @@ def solve_poses(frames: DataFrame, transforms: DataFrame, gsd: float, prior: flo
     pairs = transforms.filter("status = 'success'").select(group.alias("g"), F.col("source_id").cast("string").alias("s"), F.col("target_id").cast("string").alias("t"), F.col("matrix").alias("m"), F.col("inlier_ratio").cast("double").alias("weight"))
     edges = pairs.join(size("s"), ["g", "s"]).join(size("t"), ["g", "t"])
     edges = cut(edges.select("g", "s", "t", "m", F.array(*(F.col(c).cast("double") for c in ("ws", "hs", "wt", "ht"))).alias("size"), "weight"))
-    solved = solve(base.select("g", "f", "start"), edges, prior)
+    scratch = Scratch(frames.sparkSession)
+    solved = cut(solve(base.select("g", "f", "start"), edges, prior, scratch))
+    scratch.close()
     linked = edges.select("g", F.explode(F.array("s", "t")).alias("f")).distinct().withColumn("linked", F.lit(True))
     out = base.join(solved, ["g", "f"], "left").join(linked, ["g", "f"], "left")
     p = [F.coalesce(F.get("p", k), F.get("start", k)) for k in range(4)]
