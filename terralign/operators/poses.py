@@ -10,6 +10,7 @@ are the diagonal blocks of the normal equations, and the edges' cross blocks sta
 in the form with one reduction: a product with the matrix is a join of cross blocks with the vector and a sum by frame, and the
 scalars of each survey are sums by survey. The preconditioner is block-Jacobi over clusters of CLUSTER frames that lie
 together: a task solves one cluster's equations as if there were no other, so a survey that fits a cluster takes one round.
+The solution starts where clusters come to rest by their own edges alone, wherever a survey's cost is less there.
 
 What rounds read again is kept: poses, derivatives and vectors are checkpointed, cross blocks are laid out once per step by
 the keys that they are joined on.
@@ -34,6 +35,8 @@ from . import ordered
 CLUSTER = 256
 #: Rounds of one step's conjugate gradients, steps, and the relative size at which a residual counts as nothing.
 ROUNDS, STEPS, TOLERANCE = 500, 50, 1e-7
+#: Steps of a cluster by itself.
+SETTLING = 500
 LOSS = 10.0
 PRIOR = (1.0, 1.0, 50.0, 100.0)
 _UPPER = [(r, c) for r in range(4) for c in range(r, 4)]
@@ -52,41 +55,91 @@ def _lists(values: np.ndarray) -> pa.Array:
 DERIVED = "g string, c long, me string, oc long, other string, cost double, grad array<double>, own array<double>, block array<double>"
 
 
+def _terms(p: np.ndarray, q: np.ndarray, m: np.ndarray, size: np.ndarray, weight: np.ndarray) -> tuple:
+    """Of edges between poses p and q: costs, gradients of both ends, diagonal blocks of both, and cross blocks."""
+    a = _CORNERS[None] * size[:, None, :2]
+    there = np.einsum("pij,pkj->pki", m, np.concatenate([a, np.ones((*a.shape[:2], 1))], 2))
+    a, there = a - size[:, None, :2] / 2, there[..., :2] / there[..., 2:] - size[:, None, 2:] / 2
+
+    def put(pose: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c, s, scale = np.cos(pose[:, 2, None]), np.sin(pose[:, 2, None]), pose[:, 3, None]
+        ux, uy = c * at[..., 0] - s * at[..., 1], s * at[..., 0] + c * at[..., 1]
+        one, none = np.ones_like(ux), np.zeros_like(ux)
+        slope = np.stack([np.stack([one, none, -scale * uy, ux], 2), np.stack([none, one, scale * ux, uy], 2)], 2)
+        return np.stack([pose[:, 0, None] + scale * ux, pose[:, 1, None] + scale * uy], 2), slope
+
+    (here, left), (far, right) = put(p, a), put(q, there)
+    off = ((here - far) * weight[:, None, None]).reshape(-1, 8)
+    left, right = ((sign * weight[:, None, None, None] * x).reshape(-1, 8, 4) for sign, x in ((1.0, left), (-1.0, right)))
+    robust = 1 / (1 + (off / LOSS) ** 2)
+    cost = (LOSS**2 * np.log1p((off / LOSS) ** 2)).sum(1)
+    grads = [np.einsum("pr,prd->pd", robust * off, x) for x in (left, right)]
+    owns = [np.einsum("pr,prc,prd->pcd", robust, x, x) for x in (left, right)]
+    return cost, *grads, *owns, np.einsum("pr,prc,prd->pcd", robust, left, right)
+
+
 def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two rows for each edge, one as its source and one as its target sees it: its part of the frame's gradient and diagonal
     block, its cross block, and the edge's cost in the source's row."""
     for b in batches:
         col = dict(zip(b.schema.names, b.columns, strict=True))
         p, q, m, size = (_array(col[c], k) for c, k in (("ps", 4), ("pt", 4), ("m", 9), ("size", 4)))
-        weight, m = col["weight"].to_numpy(), m.reshape(-1, 3, 3)
-        a = _CORNERS[None] * size[:, None, :2]
-        there = np.einsum("pij,pkj->pki", m, np.concatenate([a, np.ones((*a.shape[:2], 1))], 2))
-        a, there = a - size[:, None, :2] / 2, there[..., :2] / there[..., 2:] - size[:, None, 2:] / 2
-
-        def put(pose: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            c, s, scale = np.cos(pose[:, 2, None]), np.sin(pose[:, 2, None]), pose[:, 3, None]
-            ux, uy = c * at[..., 0] - s * at[..., 1], s * at[..., 0] + c * at[..., 1]
-            one, none = np.ones_like(ux), np.zeros_like(ux)
-            slope = np.stack([np.stack([one, none, -scale * uy, ux], 2), np.stack([none, one, scale * ux, uy], 2)], 2)
-            return np.stack([pose[:, 0, None] + scale * ux, pose[:, 1, None] + scale * uy], 2), slope
-
-        (here, left), (far, right) = put(p, a), put(q, there)
-        off = ((here - far) * weight[:, None, None]).reshape(-1, 8)
-        left, right = ((sign * weight[:, None, None, None] * x).reshape(-1, 8, 4) for sign, x in ((1.0, left), (-1.0, right)))
-        robust = 1 / (1 + (off / LOSS) ** 2)
-        cost = (LOSS**2 * np.log1p((off / LOSS) ** 2)).sum(1)
-        cross = np.einsum("pr,prc,prd->pcd", robust, left, right)
-        own = [np.einsum("pr,prc,prd->pcd", robust, x, x) for x in (left, right)]
-        upper = np.concatenate([np.stack([o[:, r, c] for r, c in _UPPER], 1) for o in own])
-        grad = np.concatenate([np.einsum("pr,prd->pd", robust * off, x) for x in (left, right)])
+        cost, *grads, own_s, own_t, cross = _terms(p, q, m.reshape(-1, 3, 3), size, col["weight"].to_numpy())
+        upper = np.concatenate([np.stack([o[:, r, c] for r, c in _UPPER], 1) for o in (own_s, own_t)])
         two = lambda x, y: pa.concat_arrays([col[x], col[y]])
         blocks = np.concatenate([cross.reshape(-1, 16), cross.transpose(0, 2, 1).reshape(-1, 16)])
         yield pa.RecordBatch.from_arrays(
-            [two("g", "g"), two("cs", "ct"), two("s", "t"), two("ct", "cs"), two("t", "s"), pa.array(np.r_[cost, np.zeros(len(cost))]), _lists(grad), _lists(upper), _lists(blocks)],
+            [two("g", "g"), two("cs", "ct"), two("s", "t"), two("ct", "cs"), two("t", "s"), pa.array(np.r_[cost, np.zeros(len(cost))]), _lists(np.concatenate(grads)), _lists(upper), _lists(blocks)],
             ["g", "c", "me", "oc", "other", "cost", "grad", "own", "block"],
         )
 
 
+def _settle(prior: float):
+    scales = prior * np.array(PRIOR)
+
+    def of(frames: pa.Table, edges: pa.Table) -> pa.Table:
+        """A cluster's poses by its own edges alone, with dense steps."""
+        names, n = frames.column("f").to_pylist(), frames.num_rows
+        place, start = {f: k for k, f in enumerate(names)}, _array(frames.column("start").combine_chunks(), 4)
+        i, j = (np.array([place[f] for f in edges.column(c).to_pylist()], int) for c in ("s", "t"))
+        m, size = (_array(edges.column(c).combine_chunks(), k) for c, k in (("m", 9), ("size", 4)))
+        m, weight, every = m.reshape(-1, 3, 3), edges.column("weight").to_numpy(), np.arange(n)
+
+        def at(p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            cost, grad_s, grad_t, own_s, own_t, cross = _terms(p[i], p[j], m, size, weight)
+            off = p - start
+            off[:, 2] = np.arctan2(np.sin(off[:, 2]), np.cos(off[:, 2]))
+            far = off * scales
+            robust = 1 / (1 + (far / LOSS) ** 2)
+            grad, a, four = scales * robust * far, np.zeros((n, 4, n, 4)), np.arange(4)
+            np.add.at(grad, i, grad_s)
+            np.add.at(grad, j, grad_t)
+            for r, c, block in ((i, i, own_s), (j, j, own_t), (i, j, cross), (j, i, cross.transpose(0, 2, 1))):
+                np.add.at(a, (r[:, None, None], four[:, None], c[:, None, None], four), block)
+            a[every[:, None], four, every[:, None], four] += scales**2 * robust
+            return float(cost.sum() + (LOSS**2 * np.log1p((far / LOSS) ** 2)).sum()), grad, a.reshape(4 * n, 4 * n)
+
+        p, damping = start.copy(), 1e-3
+        now, grad, a = at(p)
+        for _ in range(SETTLING if len(i) else 0):
+            damped = a + np.diag(damping * (np.diag(a) + 1e-9))
+            tried = p - np.linalg.solve(damped, grad.ravel()).reshape(n, 4)
+            after, *derived = at(tried)
+            if not after <= now:
+                damping *= 10
+                if damping >= 1e8:
+                    break
+                continue
+            gain, p, now, (grad, a), damping = now - after, tried, after, derived, max(damping / 10, 1e-9)
+            if gain <= 1e-14 * now:
+                break
+        out = frames.set_column(frames.schema.get_field_index("p"), "p", pa.chunked_array([_lists(p)]))
+        vector = pa.list_(pa.float64())
+        return out.cast(pa.schema([(f.name, vector if pa.types.is_list(f.type) else f.type) for f in out.schema]))
+
+    return of
+
+
 def _precondition(rows: pa.Table, edges: pa.Table) -> pa.Table:
     """rows of a cluster plus z, which solves the cluster's own equations for r."""
     names, n = rows.column("f").to_pylist(), rows.num_rows
@@ -206,7 +259,17 @@ def solve(frames: DataFrame, edges: DataFrame, prior: float, scratch: Scratch) -
     """
     frames = scratch.keep(clusters(frames.join(edges.select("g").distinct(), "g", "left_semi")).withColumn("p", F.col("start")))
     edges = scratch.keep(edges)
-    rows, whole = linearise(frames, edges, prior, scratch)
+    if edges.isEmpty():
+        return frames.select("g", "f", "p")
+    at = lambda k: frames.select("g", F.col("f").alias(k), F.col("c").alias(f"c{k}"))
+    inside = edges.join(at("s"), ["g", "s"]).join(at("t"), ["g", "t"]).filter("cs = ct").select("g", F.col("cs").alias("c"), "s", "t", "m", "size", "weight")
+    kinds = "g string, f string, start array<double>, c long, p array<double>"
+    settled = frames.select("g", "f", "start", "c", "p").groupBy("g", "c").cogroup(inside.groupBy("g", "c")).applyInArrow(_settle(prior), kinds)
+    begun, (rows, whole) = linearise(frames, edges, prior, scratch), linearise(scratch.keep(settled), edges, prior, scratch)
+    total = lambda w, name: w.groupBy("g").agg(F.sum("cost").alias(name))
+    worse = scratch.keep(total(begun[1], "old").join(total(whole, "new"), "g").filter("NOT new <= old").select("g"))
+    if not worse.isEmpty():
+        rows, whole = (scratch.keep(new.join(worse, "g", "left_anti").unionByName(old.join(worse, "g", "left_semi"))) for old, new in zip(begun, (rows, whole), strict=True))
     surveys = scratch.keep(whole.groupBy("g").agg(F.sum("cost").alias("cost")).withColumn("damping", F.lit(1e-3)))
     ended = [frames.limit(0).select("g", "f", "p")]
     for _ in range(STEPS):
@@ -217,7 +280,8 @@ def solve(frames: DataFrame, edges: DataFrame, prior: float, scratch: Scratch) -
         new_rows, new_whole = linearise(scratch.keep(moved), edges, prior, scratch)
         after = new_whole.groupBy(F.col("g").alias("h")).agg(F.sum("cost").alias("after"))
         better = F.coalesce(F.col("after") <= F.col("cost"), F.lit(False))
-        done = F.when(better, F.col("cost") - F.col("after") <= 1e-9 * F.greatest(F.col("after"), F.lit(1e-12))).otherwise(F.col("damping") * 10 >= 1e8)
+        still = F.abs(F.col("cost") - F.col("after")) <= 1e-9 * F.greatest(F.col("after"), F.lit(1e-12))
+        done = F.coalesce(still, F.lit(False)) | (~better & (F.col("damping") * 10 >= 1e8))
         told = surveys.join(after, F.col("g") == F.col("h")).select("g", F.when(better, F.col("after")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.greatest(F.col("damping") / 10, F.lit(1e-9))).otherwise(F.col("damping") * 10).alias("damping"), better.alias("better"), done.alias("done"))
         told = scratch.keep(told)
         counts = told.agg(F.count_if("better").alias("better"), F.count_if("done").alias("done"), F.count(F.lit(1)).alias("n")).first()

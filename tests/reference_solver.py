@@ -23,7 +23,7 @@ def conjugate_gradients(times, inverse: np.ndarray, right: np.ndarray, tolerance
     return x
 
 
-def solve(frames: pd.DataFrame, pairs: pd.DataFrame, gsd: float, prior: float = 0.05, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def solve(frames: pd.DataFrame, pairs: pd.DataFrame, gsd: float, prior: float = 0.05, rounds: int = 50, least: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
     """(x, y, theta, scale) of each frame, and its start from the positions.
 
     Each pair asks four points of its source to land where its target puts them, weighted by its inlier ratio; large residuals
@@ -103,6 +103,6 @@ def solve(frames: pd.DataFrame, pairs: pd.DataFrame, gsd: float, prior: float =
         else:
             break
         gain, p, now, damping = now - after, p - step, after, max(damping / 10, 1e-9)
-        if gain <= 1e-9 * max(now, 1e-12):
+        if gain <= least * max(now, 1e-12):
             break
     return p, start

@@ -45,7 +45,7 @@ def test_poses_equal_the_dense_solver(spark):
     for name in "abc":
         f = pd.DataFrame([x[1:] for x in frames if x[0] == name], columns=["frame_id", "easting", "northing", "yaw", "width", "height"])
         p = pd.DataFrame([x[1:5] for x in pairs if x[0] == name and x[5] == "success" and x[2] != "unknown"], columns=["source_id", "target_id", "matrix", "inlier_ratio"])
-        want = dict(zip(f["frame_id"], reference_solver.solve(f, p, 0.1)[0], strict=True))
+        want = dict(zip(f["frame_id"], reference_solver.solve(f, p, 0.1, rounds=400, least=1e-14)[0], strict=True))
         for r in got:
             if r.survey == name:
                 assert np.allclose([r.world_x, r.world_y, r.rotation, r.scale], want[r.frame_id], atol=1e-6, rtol=0), (r, want[r.frame_id])
