@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from . import pipeline
 from .config import build_config
+from .functions import frames as fr
 from .operators import matching, mosaic
-from .session import local_session
+from .session import bounds, local_session
 from .sinks import files
 from .sources import images
 from .sources.checkpoints import use_checkpoints
@@ -22,18 +23,18 @@ def verify(spark, folder: str, csv: str | None = None) -> dict:
     """Counts of a folder, its first ten rejections and how many more there are; accepted frames as CSV if asked for."""
     frames = images.read_frames(spark, folder)
     one = frames.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNull()).alias("ok")).first()
-    first = frames.filter("reason IS NOT NULL").orderBy("path").select("path", "reason").limit(10).collect()
+    first = fr.first_rejections(frames, "path").select("path", "reason", "more").orderBy("path").collect()
     if csv:
         files.write_csv(frames.filter("reason IS NULL").orderBy("path").select(*AUDIT), csv)
-    return {"total_found": one.n, "accepted": one.ok, "rejected": one.n - one.ok, "rejections": [(r.path, r.reason) for r in first], "more": max(0, one.n - one.ok - 10)}
+    return {"total_found": one.n, "accepted": one.ok, "rejected": one.n - one.ok, "rejections": [(r.path, r.reason) for r in first], "more": first[0].more if first else 0}
 
 
 def compare(spark, folder: str, matcher: str = "sift") -> list[dict]:
-    """Affine against homography for each pair of neighbours of a folder."""
+    """Affine against homography for each pair of neighbours of a folder, frames turned as their orientation says."""
     use_checkpoints(spark)
     planned = pipeline.plan_frames(images.read_frames(spark, folder).filter("reason IS NULL")).checkpoint()
     pairs = pipeline.plan.neighbor_graph(planned, 6, 80.0, "easting", "northing")
-    points = mosaic.match(mosaic.extract(images.read_pixels(spark, folder), matcher, 2000, 1000), pairs).checkpoint()
+    points = mosaic.match(mosaic.extract(images.upright(images.read_pixels(spark, folder), planned), matcher, 2000, 1000), pairs).checkpoint()
     both = matching.compare_models(matching.pair_transforms(points, "affine"), matching.pair_transforms(points, "homography"))
     return [r.asDict() for r in both.orderBy("source_id", "target_id").collect()]
 
@@ -60,14 +61,14 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("folder")
     c.add_argument("--matcher", default="sift")
     args = parser.parse_args(argv)
-    spark = local_session()
     if args.command == "verify-dataset":
-        print(verify(spark, args.folder, args.csv))
+        print(verify(local_session(), args.folder, args.csv))
     elif args.command == "compare-transforms":
-        print(*compare(spark, args.folder, args.matcher), sep="\n")
+        print(*compare(local_session(), args.folder, args.matcher), sep="\n")
     else:
         overrides = {"matcher": args.matcher, "transform_model": args.model, "tile_size": args.tile_size, "generate_cog": False if args.no_cog else None, "generate_tiles": False if args.no_tiles else None}
         config = build_config(args.profile, args.preset, overrides)
+        spark = local_session(**bounds(config))
         if args.command == "run":
             print(pipeline.run(spark, args.input, args.out, config).to_json())
         else:

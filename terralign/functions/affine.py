@@ -72,6 +72,11 @@ def is_sane(m: Column, width: Column, height: Column, max_scale: float = 2.5, ma
     return F.coalesce(ok, F.lit(False))
 
 
+def canvas_transform(left: Column, top: Column, pixel: Column) -> Column:
+    """A north-up canvas' pixel to world transform as six numbers: a, b, c, d, e, f of x = a col + b row + c, y = d col + e row + f."""
+    return F.array(*(c.cast("double") for c in (pixel, F.lit(0), left, F.lit(0), -pixel, top)))
+
+
 def world_to_pixel(x: Column, y: Column, left: Column, top: Column, pixel: Column) -> tuple[Column, Column]:
     return (x - left) / pixel, (top - y) / pixel
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Image extensions, sensor widths, default focal length and the reasons for rejection.
@@ -43,6 +43,13 @@ def rejection_reason(lat: Column, lon: Column, pitch: Column, threshold: float =
     return F.when(lat.isNull() | lon.isNull(), NO_GPS).when(pitch > threshold, ahead)
 
 
+def first_rejections(frames: DataFrame, order: str, most: int = 10) -> DataFrame:
+    """The first rejected frames (their reason isn't null) in order, and in `more` how many others there are."""
+    rejected = frames.filter("reason IS NOT NULL")
+    more = rejected.agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("more"))
+    return rejected.orderBy(order).limit(most).join(F.broadcast(more), F.lit(True))
+
+
 def folder_reason(readable: Column, has_gps: Column) -> Column:
     return F.when(~readable, UNREADABLE).when(~has_gps, NO_GPS_METADATA)
 

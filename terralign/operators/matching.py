@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import affine
 from .nearest import two_nearest
 
 
@@ -125,6 +126,38 @@ def pair_transforms(points: DataFrame, model: str = "affine", threshold: float =
     return points.groupBy("source_id", "target_id").applyInPandas(_estimate(model, threshold, least_inliers), PAIR.format(k=kind))
 
 
+def valid_pairs(pairs: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """The successful pairs whose source is a frame_id of sources and whose target is one of targets (else of sources too)."""
+    ends = {"source_id": sources, "target_id": sources if targets is None else targets}
+    out = pairs.filter("status = 'success'")
+    for end, known in ends.items():
+        out = out.join(known.select(F.col("frame_id").alias(end)).distinct(), end, "left_semi")
+    return out
+
+
+def frame_confidence(frames: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(frame_id, confidence): 1 for frames that some successful pair has at either end, else 0.5."""
+    ends = pairs.filter("status = 'success'").select(F.explode(F.array("source_id", "target_id")).alias("frame_id")).distinct().withColumn("hit", F.lit(True))
+    return frames.select("frame_id").join(ends, "frame_id", "left").select("frame_id", F.when(F.col("hit"), 1.0).otherwise(0.5).alias("confidence"))
+
+
+def pair_records(transforms: DataFrame) -> DataFrame:
+    """Transforms as the contract has them: the identity where there is no matrix, ratios with four and errors with three digits."""
+    status = F.when(F.col("status") == "success", "accepted").when(F.col("status") == "low_inliers", "rejected").otherwise("fallback")
+    m = F.coalesce("matrix", affine.matrix(*affine.IDENTITY))
+    rows = F.array(*(F.slice(m, i, 3) for i in (1, 4, 7)))
+    return transforms.select(
+        "source_id", "target_id", F.col("model_type").alias("model"), rows.alias("matrix"), F.col("num_matches").alias("matches"), F.col("num_inliers").alias("inliers"),
+        F.bround("inlier_ratio", 4).alias("inlier_ratio"), F.bround("reprojection_error", 3).alias("reprojection_error"), status.alias("status"),
+    )
+
+
+def strongest(features: DataFrame, limit: int, response: str, frame: str = "frame", kp: str = "kp") -> DataFrame:
+    """The `limit` features of each frame with the greatest response, and their rank from 1; of equal ones the lesser kp is first."""
+    order = Window.partitionBy(frame).orderBy(F.desc(response), kp)
+    return features.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit)
+
+
 def compare_models(affine: DataFrame, homography: DataFrame, least_gain: float = 0.5) -> DataFrame:
     """(source_id, target_id, winner, gain): homography only if it is over least_gain px better with no fewer inliers."""
     side = lambda t, s: t.select("source_id", "target_id", *(F.col(c).alias(f"{s}_{c}") for c in ("status", "num_inliers", "reprojection_error")))

@@ -69,12 +69,12 @@ def candidate_pairs(frames: DataFrame, reach: float, x: str, y: str, by: list[st
 
 
 def neighbor_graph(frames: DataFrame, k: int = 6, reach: float = 80.0, x: str = "x", y: str = "y", by: list[str] | None = None) -> DataFrame:
-    """Undirected pairs (source_id < target_id) where one is among the k nearest of the other within reach metres."""
+    """Undirected pairs (source_id < target_id) where one is among the k nearest of the other within reach metres, by distance."""
     by = by or []
     near = Window.partitionBy("a").orderBy(F.round("distance", 6), "b")
     ranked = candidate_pairs(frames, reach, x, y, by).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
     pair = ranked.select(*by, F.least("a", "b").alias("source_id"), F.greatest("a", "b").alias("target_id"), "distance")
-    return pair.groupBy(*by, "source_id", "target_id").agg(F.min("distance").alias("distance_m"))
+    return pair.groupBy(*by, "source_id", "target_id").agg(F.min("distance").alias("distance_m")).orderBy("distance_m", "source_id", "target_id")
 
 
 def flight_edges(frames: DataFrame, order: list[str], reach: float = 120.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frames as fr
@@ -28,6 +28,12 @@ def label_events(tiles: DataFrame, by: list[str], order: list[str]) -> DataFrame
     return tiles.withColumn("event", F.when(F.row_number().over(w) == 1, "first_tile").otherwise("tile_written"))
 
 
+def time_to_first(log: DataFrame, by: list[str], event: Column, at: str = "ts") -> DataFrame:
+    """(by, seconds): from a run's first entry to its first entry for which `event` holds; null where there is none."""
+    moment = F.col(at).cast("timestamp").cast("double")
+    return log.groupBy(*by).agg((F.min(F.when(event, moment)) - F.min(moment)).alias("seconds"))
+
+
 def usage(samples: DataFrame, by: list[str]) -> DataFrame:
     """Peak memory and mean load per run, 0 where nothing was sampled."""
     return samples.groupBy(*by).agg(F.coalesce(F.max("rss_ram_mb"), F.lit(0.0)).alias("peak_ram_mb"), F.coalesce(F.avg("cpu_percent"), F.lit(0.0)).alias("avg_cpu_percent"))

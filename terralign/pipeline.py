@@ -14,8 +14,9 @@ from .config import RunConfig, build_config
 from .functions import frames as fr
 from .functions import geo
 from .monitor import Monitor, RunSummary
-from .operators import matching, mosaic, plan
+from .operators import compose, matching, mosaic, plan
 from .operators import poses as poses_of
+from .operators import render as rendering
 from .sinks import files, manifests, products, raster
 from .sources import images
 from .sources.checkpoints import use_checkpoints
@@ -54,6 +55,7 @@ def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = N
 
         monitor.set_stage("plan")
         planned = plan_frames(frames.filter("reason IS NULL")).checkpoint()
+        positions = planned.agg(geo.positions_box(F.col("lat"), F.col("lon")).alias("box")).first().box  # refuses positions off the globe
         pairs = plan.neighbor_graph(planned, config.k_neighbors, config.max_neighbor_distance_m, "easting", "northing").select("source_id", "target_id", "distance_m")
 
         monitor.set_stage("match")
@@ -89,7 +91,7 @@ def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = N
                 on_event(event)
 
         monitor.set_stage("export")
-        manifest = {"run_id": summary.run_id, "dataset": summary.dataset_name, "crs": f"EPSG:{corner.epsg}", "bounds": [left, bottom, right, top], "bounds_wgs84": list(around), "width": box.width_px, "height": box.height_px, "gsd": ground, "geotiff": "orthomosaic.tif"}
+        manifest = {"run_id": summary.run_id, "dataset": summary.dataset_name, "crs": f"EPSG:{corner.epsg}", "bounds": [left, bottom, right, top], "bounds_wgs84": list(around), "width": box.width_px, "height": box.height_px, "gsd": ground, "geotiff": "orthomosaic.tif", "positions_wgs84": [positions.west, positions.south, positions.east, positions.north]}
         if config.generate_cog:
             levels, small, factor = [level], tiles, 2
             while factor <= 16 and min(box.width_px, box.height_px) >= 2 * factor:
@@ -113,7 +115,7 @@ def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = N
 
         monitor.set_stage("report")
         files.write_json(spark, f"{out}/poses.json", {"poses": [{"frame_id": p.frame_id, "x": p.world_x, "y": p.world_y, "scale": p.scale, "rotation": p.rotation, "confidence": p.confidence, "dropped": False} for p in poses.orderBy("frame_id").toLocalIterator()]})
-        files.write_json(spark, f"{out}/pair_transforms.json", {"pairs": [pair_record(t) for t in transforms.orderBy("source_id", "target_id").toLocalIterator()]})
+        files.write_json(spark, f"{out}/pair_transforms.json", {"pairs": [t.asDict() for t in matching.pair_records(transforms).orderBy("source_id", "target_id").toLocalIterator()]})
         files.write_json(spark, f"{out}/canvas.json", {"crs": manifest["crs"], "left": left, "top": top, "pixel_size": ground, "width": box.width_px, "height": box.height_px, "gsd": ground, "source_dataset": summary.dataset_name})
         files.write_json(spark, f"{out}/manifest.json", manifest)
         facts = manifests.raster_manifest(
@@ -138,13 +140,6 @@ def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = N
     return summary
 
 
-def pair_record(t) -> dict:
-    """A transform as the contract has it."""
-    status = {"success": "accepted", "low_inliers": "rejected"}.get(t.status, "fallback")
-    m = [list(t.matrix[i : i + 3]) for i in (0, 3, 6)]
-    return {"source_id": t.source_id, "target_id": t.target_id, "model": t.model_type, "matrix": m, "matches": t.num_matches, "inliers": t.num_inliers, "inlier_ratio": round(t.inlier_ratio, 4), "reprojection_error": round(t.reprojection_error, 3), "status": status}
-
-
 def events_of(tiles: DataFrame, path: str, n_bytes: int):
     """first_tile, tile_written for each other tile by row and column, and final_output."""
     for i, t in enumerate(tiles.select("row", "col", "x0", "y0", "width", "height").orderBy("row", "col").toLocalIterator()):
@@ -154,19 +149,5 @@ def events_of(tiles: DataFrame, path: str, n_bytes: int):
 
 def render_canvas(spark: SparkSession, canvas, render: Callable, tile: int = 2048) -> DataFrame:
     """Tiles of a contract canvas from a callable (x, y, width, height) -> (4, height, width) uint8, called on executors."""
-    import numpy as np
-    import pandas as pd
-
-    from .operators import compose
-
-    def emit(batches):
-        for b in batches:
-            for r in b.itertuples():
-                x, y, w, h = int(r.x0), int(r.y0), int(r.x1 - r.x0), int(r.y1 - r.y0)
-                image = np.asarray(render(x, y, w, h))
-                if image.shape != (4, h, w) or image.dtype != np.uint8:
-                    raise ValueError(f"the renderer returned {image.shape} {image.dtype}, expected {(4, h, w)} uint8")
-                yield pd.DataFrame([(int(r.row), int(r.col), x, y, w, h, np.ascontiguousarray(image.transpose(1, 2, 0)).tobytes(), not image[3].any(), 0)], columns=["row", "col", "x0", "y0", "width", "height", "rgba", "is_empty", "skipped"])
-
     one = spark.createDataFrame([(canvas.width, canvas.height)], "width_px long, height_px long")
-    return compose.tile_grid(one, tile).mapInPandas(emit, mosaic.TILE)
+    return rendering.rendered(compose.tile_grid(one, tile), render)

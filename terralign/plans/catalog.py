@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import affine, geo
 from ..functions import frames as fr
+from ..functions.telemetry_status import upload_status
 from ..operators import compose, matching, placement, plan, poses, telemetry
 from ..session import table
 from ..sources import contracts, images
@@ -95,9 +96,7 @@ def _(spark, sf_dir):
 
 @query("rejections_top10", f"WITH f AS ({CHECKED}), r AS (SELECT frame_id, {REASON} AS reason FROM f), j AS (SELECT *, count(*) OVER () - 10 AS more FROM r WHERE reason IS NOT NULL) SELECT frame_id, reason, greatest(more, 0) AS more FROM j ORDER BY frame_id LIMIT 10")
 def _(spark, sf_dir):
-    rejected = _checked(spark, sf_dir).select("frame_id", fr.rejection_reason(F.col("lat"), F.col("lon"), F.col("pitch")).alias("reason")).filter("reason IS NOT NULL")
-    more = rejected.agg(F.greatest(F.count(F.lit(1)) - 10, F.lit(0)).alias("more"))
-    return rejected.orderBy("frame_id").limit(10).join(F.broadcast(more), F.lit(True))
+    return fr.first_rejections(_checked(spark, sf_dir).select("frame_id", fr.rejection_reason(F.col("lat"), F.col("lon"), F.col("pitch")).alias("reason")), "frame_id")
 
 
 @query("accept_reject_cover", f"WITH f AS ({CHECKED}), r AS (SELECT frame_id, {REASON} IS NULL AS ok FROM f) SELECT (SELECT count(*) FROM r WHERE ok) + (SELECT count(*) FROM r WHERE NOT ok) AS covered, count(*) AS total, 0::BIGINT AS left_over FROM r")
@@ -148,9 +147,7 @@ def _(spark, sf_dir):
 
 @query("upload_status", f"WITH f AS ({CHECKED}) SELECT frame_id % 7 AS project, CASE WHEN count(*) FILTER (readable AND lat IS NOT NULL) >= 2 THEN 'ready_for_processing' WHEN count(*) FILTER (readable) = 0 THEN 'error' ELSE 'warning_no_gps' END AS status FROM f GROUP BY 1")
 def _(spark, sf_dir):
-    gps, readable = F.count_if(F.col("readable") & F.col("lat").isNotNull()), F.count_if("readable")
-    status = F.when(gps >= 2, "ready_for_processing").when(readable == 0, "error").otherwise("warning_no_gps")
-    return _checked(spark, sf_dir).groupBy((F.col("frame_id") % 7).alias("project")).agg(status.alias("status"))
+    return _checked(spark, sf_dir).groupBy((F.col("frame_id") % 7).alias("project")).agg(upload_status(F.col("readable"), F.col("lat").isNotNull()).alias("status"))
 
 
 # ------------------------------------------------------------------------------------------------------------- planning
@@ -355,8 +352,8 @@ def _(spark, sf_dir):
 
 @query("keypoint_cap", "SELECT label, vec_id, k FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS k FROM embeddings) WHERE k <= 5")
 def _(spark, sf_dir):
-    strongest = Window.partitionBy("label").orderBy(F.desc(F.get("embedding", F.lit(0))), "vec_id")
-    return table(spark, sf_dir, "embeddings").withColumn("k", F.row_number().over(strongest).cast("long")).filter("k <= 5").select("label", "vec_id", "k")
+    features = table(spark, sf_dir, "embeddings").withColumn("response", F.get("embedding", F.lit(0)))
+    return matching.strongest(features, 5, "response", "label", "vec_id").select("label", "vec_id", F.col("rank").alias("k"))
 
 
 POINTS = "SELECT l_suppkey AS pair_id, l_quantity AS x, l_discount * 100 AS y, 2 * l_quantity + l_tax AS u, 3 * (l_discount * 100) - l_tax AS v, l_extendedprice AS z FROM lineitem"
@@ -518,16 +515,17 @@ def _(spark, sf_dir):
 
 @query("frame_confidence", "SELECT c_custkey AS frame_id, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence FROM customer")
 def _(spark, sf_dir):
-    hit = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("hit", F.lit(True))
-    return table(spark, sf_dir, "customer").join(hit, "c_custkey", "left").select(F.col("c_custkey").alias("frame_id"), F.when(F.col("hit"), 1.0).otherwise(0.5).alias("confidence"))
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_custkey").alias("target_id"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("failed").alias("status"))
+    return matching.frame_confidence(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("frame_id")), pairs)
 
 
 @query("valid_pairs", "SELECT o_orderkey AS pair_id FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND o_orderkey % 25 IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
 def _(spark, sf_dir):
-    known_a = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    known_b = table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("b"))
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 25).alias("b"))
-    return o.join(known_a, "o_custkey", "left_semi").join(known_b, "b", "left_semi").select(F.col("o_orderkey").alias("pair_id"))
+    sources = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("frame_id"))
+    targets = table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("frame_id"))
+    k = F.col("o_orderkey")
+    pairs = table(spark, sf_dir, "orders").select(k, F.col("o_custkey").alias("source_id"), (k % 25).alias("target_id"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("failed").alias("status"))
+    return matching.valid_pairs(pairs, sources, targets).select(k.alias("pair_id"))
 
 
 # ---------------------------------------------------------------------------------------------------- canvas, tiles, blend
@@ -617,7 +615,8 @@ def _(spark, sf_dir):
 
 @query("projected_bounds", f"WITH f AS ({FRAMES}), p AS ({XY}) SELECT flight_id, round(min(x) - 5, 4) AS west, round(min(y) - 5, 4) AS south, round(max(x) + 5, 4) AS east, round(max(y) + 5, 4) AS north FROM p GROUP BY 1")
 def _(spark, sf_dir):
-    return _placed(spark, sf_dir).groupBy("flight_id").agg(r6(F.min("x") - 5, 4).alias("west"), r6(F.min("y") - 5, 4).alias("south"), r6(F.max("x") + 5, 4).alias("east"), r6(F.max("y") + 5, 4).alias("north"))
+    boxes = _placed(spark, sf_dir).groupBy("flight_id").agg(geo.projected_box(F.col("x"), F.col("y"), 5.0).alias("b"))
+    return boxes.select("flight_id", *(r6(F.col(f"b.{c}"), 4).alias(c) for c in ("west", "south", "east", "north")))
 
 
 ZOOMED = f"WITH s AS ({SITES}), z AS (SELECT id, lat + 0.1234 AS lat, lon + 0.4321 AS lon, z, pow(2.0, z) AS n FROM s, (VALUES (2), (7), (12)) v(z))"
@@ -728,8 +727,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     log = _log(spark, sf_dir)
     kind = log.agg(F.min("stage").alias("kind"))
-    at = F.col("ts").cast("timestamp").cast("double")
-    return log.join(F.broadcast(kind), F.lit(True)).groupBy("run").agg(r6(F.min(F.when(F.col("stage") == F.col("kind"), at)) - F.min(at), 3).alias("seconds"))
+    return telemetry.time_to_first(log.join(F.broadcast(kind), F.lit(True)), ["run"], F.col("stage") == F.col("kind")).withColumn("seconds", r6("seconds", 3))
 
 
 @query("event_labels", "SELECT user_id AS run, event_id AS seq, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'first_tile' ELSE 'tile_written' END AS event FROM events")
@@ -805,4 +803,9 @@ def _(spark, sf_dir):
 
 @query("pair_records", "SELECT o_orderkey AS pair_id, round_even(o_totalprice / 3000000, 4) AS inlier_ratio, round_even(o_totalprice / 77777, 3) AS reprojection_error FROM orders")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair_id"), F.bround(F.col("o_totalprice") / 3000000, 4).alias("inlier_ratio"), F.bround(F.col("o_totalprice") / 77777, 3).alias("reprojection_error"))
+    price = F.col("o_totalprice")
+    t = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("source_id"), F.col("o_custkey").alias("target_id"), F.lit("affine").alias("model_type"), F.lit(None).cast("array<double>").alias("matrix"), F.lit(0).alias("num_matches"), F.lit(0).alias("num_inliers"),
+        (price / 3000000).alias("inlier_ratio"), (price / 77777).alias("reprojection_error"), F.lit("success").alias("status"),
+    )
+    return matching.pair_records(t).select(F.col("source_id").alias("pair_id"), "inlier_ratio", "reprojection_error")

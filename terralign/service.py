@@ -60,12 +60,13 @@ class Projects:
     def ingest(self, project: str) -> dict:
         """Checks what was uploaded; writes gps.json, ingest_report.json and the status."""
         report = images.folder_report(images.read_frames(self.spark, self._at(project, "raw"), coerce_refs=True))
+        status = report.agg(upload_status(F.col("readable"), F.col("has_gps")).alias("status")).first().status
         rows = [r.asDict() for r in report.orderBy("path").collect()]
         gps = [{"filename": r["path"].rpartition("/")[2], "lat": r["lat"], "lon": r["lon"], "alt": r["altitude"]} for r in rows if r["has_gps"] and r["readable"]]
         result = {"total": len(rows), "accepted": len(gps), "rejections": [{"file": r["path"].rpartition("/")[2], "reason": r["rejection_reason"]} for r in rows if r["rejection_reason"]]}
         files.write_json(self.spark, self._at(project, "gps.json"), gps)
         files.write_json(self.spark, self._at(project, "ingest_report.json"), result)
-        self._set(project, {"status": upload_status(sum(r["readable"] for r in rows), len(gps))})
+        self._set(project, {"status": status})
         return result
 
     def _set(self, project: str, values: dict) -> None:

@@ -20,6 +20,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def bounds(config) -> dict:
+    """Cores and memory of a session within the bounds of a machine's profile; without bounds all cores and 8 GB."""
+    return {"cores": str(config.max_cpus or "*"), "memory": f"{config.max_ram_mb}m" if config.max_ram_mb else "8g"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the Parquet tables of a data folder; the path goes to Spark's readers only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

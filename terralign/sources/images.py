@@ -141,6 +141,11 @@ def folder_report(frames: DataFrame) -> DataFrame:
     return frames.select("frame_id", "path", "file_bytes", w.alias("width"), h.alias("height"), "lat", "lon", "altitude", "yaw", "focal_length", "orientation", has.alias("has_gps"), "readable", fr.folder_reason(F.col("readable"), has).alias("rejection_reason"))
 
 
+def frame_records(report: DataFrame, altitude: float = 100.0) -> DataFrame:
+    """folder_report's rows as frames: an id from the file's stem where there is none, and an altitude where there is none."""
+    return report.select(F.coalesce("frame_id", fr.stem(F.col("path"))).alias("frame_id"), "path", "lat", "lon", F.coalesce("altitude", F.lit(altitude)).alias("altitude"), "yaw", "focal_length", "width", "height")
+
+
 def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
     """(frame_id, width, height, channels, data): pixels row by row, blue first; files that can't be decoded are left out."""
     i = F.col("image")

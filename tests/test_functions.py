@@ -6,14 +6,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terralign import config, monitor, report
+from terralign import config, monitor, report, session
 from terralign.config import build_config
 from terralign.functions import affine, geo, pixels
 from terralign.functions import frames as fr
-from terralign.monitor import EventBridge
-from terralign.operators import matching, plan
+from terralign.monitor import EventLog
+from terralign.operators import matching, placement
 from terralign.sinks import raster
-from terralign.sources import checkpoints, contracts
+from terralign.sources import checkpoints, contracts, images
 
 from . import reference_solver
 
@@ -141,7 +141,7 @@ def test_settings():
 
 
 def test_event_bridge():
-    bridge = EventBridge("r", "d", interval=0.05)
+    bridge = EventLog("r", "d", interval=0.05)
     with pytest.raises(RuntimeError):
         bridge.handle({"event": "first_tile"})
     bridge.start()
@@ -157,7 +157,8 @@ def test_event_bridge():
 def test_levels_have_no_limit(spark):
     checkpoints.use_checkpoints(spark)
     path = spark.range(80).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    got = plan.placement_levels(path.unionByName(spark.createDataFrame([(500, 501), (3, 1)], "a long, b long")), spark.range(1).select(F.col("id").alias("node")))
+    edges = path.unionByName(spark.createDataFrame([(500, 501), (3, 1)], "a long, b long")).withColumn("g", F.lit("x"))
+    got = placement.levels(edges, spark.range(1).select(F.lit("x").alias("g"), F.col("id").alias("node")))
     assert {(r.node, r.level) for r in got.collect()} == {(0, 0), (1, 1), (2, 2)} | {(i, i - 1) for i in range(3, 81)}
 
 
@@ -176,7 +177,7 @@ def test_summary_names():
 
 
 def test_event_log_as_rows(spark, tmp_path):
-    log = EventBridge("r", "d", interval=0.05)
+    log = EventLog("r", "d", interval=0.05)
     log.start()
     log.handle({"event": "first_tile", "row": 0})
     log.handle({"event": "tile_written", "row": 1})
@@ -210,6 +211,25 @@ def test_a_large_survey_is_solved():
     assert np.abs(got - (at - at.mean(0))).max() < 1.0 and np.abs(p[:, 3] - 1).max() < 0.01
 
 
+def test_records_have_their_defaults(spark):
+    report = spark.createDataFrame([(None, "/a/one.JPG", 1.0, 2.0, None, None, None, 4, 3), ("x", "/a/two.png", 1.0, 2.0, 7.0, None, None, 4, 3)], "frame_id string, path string, lat double, lon double, altitude double, yaw double, focal_length double, width int, height int")
+    assert [(r.frame_id, r.altitude) for r in images.frame_records(report).orderBy("path").collect()] == [("one", 100.0), ("x", 7.0)]
+    t = spark.createDataFrame([("a", "b", "affine", None, 9, 0, 0.12345, 1.23456, "low_inliers"), ("a", "c", "affine", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0], 9, 8, 0.5, 0.0005, "success"), ("b", "c", "affine", None, 9, 0, 0.0, 999.0, "failed")], "source_id string, target_id string, model_type string, matrix array<double>, num_matches int, num_inliers int, inlier_ratio double, reprojection_error double, status string")
+    one, two, three = matching.pair_records(t).orderBy("source_id", "target_id").collect()
+    assert (one.matrix, one.inlier_ratio, one.reprojection_error, one.status) == ([[1, 0, 0], [0, 1, 0], [0, 0, 1]], 0.1234, 1.235, "rejected")
+    assert two.matrix == [[1, 2, 3], [4, 5, 6], [7, 8, 9]] and (two.status, three.status) == ("accepted", "fallback")
+    assert {r.frame_id: r.confidence for r in matching.frame_confidence(spark.createDataFrame([("a",), ("b",), ("z",)], "frame_id string"), t).collect()} == {"a": 1.0, "b": 0.5, "z": 0.5}
+
+
+def test_small_parts(spark):
+    assert list(value(spark, affine.canvas_transform(*lits(5, 9, 0.5)))) == [0.5, 0, 5, 0, -0.5, 9]
+    flat, tilted = affine.matrix(*affine.IDENTITY), affine.matrix(1, 0, 0, 0, 1, 0, 0.001, 0, 1)
+    assert value(spark, affine.is_perspective(flat), affine.is_perspective(tilted)) == (False, True)
+    assert session.bounds(build_config("pi-lite")) == {"cores": "2", "memory": "2048m"} and session.bounds(build_config("laptop")) == {"cores": "*", "memory": "8g"}
+    features = spark.createDataFrame([(0, k, float(k % 3)) for k in range(9)], "frame int, kp int, response double")
+    assert [(r.kp, r["rank"]) for r in matching.strongest(features, 4, "response").orderBy("rank").collect()] == [(2, 1), (5, 2), (8, 3), (1, 4)]
+
+
 def test_positions_and_boxes_are_checked(spark):
     rows = spark.createDataFrame([(19.0, 73.0), (20.0, 74.0)], "lat double, lon double")
     box = rows.agg(geo.positions_box(F.col("lat"), F.col("lon")).alias("b")).first().b

@@ -89,6 +89,17 @@ def test_contract_canvas_is_rendered(spark):
         pipeline.render_canvas(spark, Canvas, lambda x, y, w, h: np.zeros((3, h, w), np.uint8), 32).collect()
 
 
+def test_tiles_are_rendered_from_sql(spark):
+    from terralign.operators import render
+
+    spark.udtf.register("render_tile", render.tile_function(lambda x, y, w, h: np.full((4, h, w), x % 7, np.uint8)))
+    grid = "VALUES (0L, 0L, 0L, 0L, 4L, 3L), (0L, 1L, 4L, 0L, 6L, 3L) AS g(row, col, x0, y0, x1, y1)"
+    got = spark.sql(f"SELECT t.* FROM {grid}, LATERAL render_tile(g.row, g.col, g.x0, g.y0, g.x1, g.y1) t ORDER BY col").collect()
+    assert [(r.col, r.width, r.height, bytes(r.rgba), r.is_empty) for r in got] == [(0, 4, 3, bytes(48), True), (1, 2, 3, b"\x04" * 24, False)]
+    with pytest.raises(Exception, match="x0 must be a whole number, not string"):
+        spark.sql("SELECT * FROM render_tile(0L, 0L, 'a', 0L, 1L, 1L)")
+
+
 def test_watch_fires_once_per_pause(spark, tmp_path):
     (tmp_path / "in").mkdir()
     flight(tmp_path / "in", 1, 2)
@@ -125,6 +136,21 @@ def test_streamed_tiles_are_labelled(spark, tmp_path):
     assert {(r["run"], r.event): r.n for r in rows} == {("a", "first_tile"): 1, ("a", "tile_written"): 2, ("b", "first_tile"): 1}
 
 
+def test_events_come_in_order_over_batches_and_a_restart(spark, tmp_path):
+    def tile(run, k):
+        return (run, k, "tile", k // 3, k % 3, 8, 8, None, None)
+
+    parts = [[tile("a", 2), tile("b", 1), tile("a", 0)], [tile("a", 3), tile("b", 0), tile("a", 0)], [("a", 5, "end", None, None, None, None, "a.tif", 77), tile("b", 2)], [tile("a", 4), tile("a", 1)], [tile("a", 9), tile("a", 1), ("b", 3, "end", None, None, None, None, "b.tif", 9)]]
+    for half in (parts[:3], parts[3:]):  # the second query goes on from the first one's state
+        for rows in half:
+            spark.createDataFrame(rows, settle.TILES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(settle.TILES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        settle.protocol(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("run", "seq").collect()
+    assert [(r.run, r.seq, r.event) for r in got] == [(run, k, "first_tile" if k == 0 else "final_output" if k == n else "tile_written") for run, n in (("a", 5), ("b", 3)) for k in range(n + 1)]
+    assert all((r.path, r.bytes) == ("a.tif", 77) and r.row is None for r in got if r.run == "a" and r.seq == 5) and all((r.row, r.col, r.width) == (r.seq // 3, r.seq % 3, 8) for r in got if r.event != "final_output")
+
+
 def test_turned_frames_are_read_upright(spark, tmp_path):
     image = np.arange(4 * 6 * 3, dtype=np.uint8).reshape(4, 6, 3)
     (tmp_path / "a.png").write_bytes(png_with(image))
