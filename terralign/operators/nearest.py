@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..sources.checkpoints import cut
 
-#: Features of a block, and pivots at most.
+#: Features of a block, and pivots at most; as many are used as the largest frame needs parts.
 BLOCK, PIVOTS = 1024, 256
 METRICS = ("l2", "hamming")
 #: Candidates for each query that are computed again to the last digit.
@@ -87,12 +87,13 @@ def _assign(pivots: np.ndarray, metric: str):
 def blocks(features: DataFrame, metric: str) -> tuple[DataFrame, DataFrame]:
     """(frame, cell, sub, n, radius, rows) of features (frame, kp, desc), and (ca, cb, gap), the distances of the pivots."""
     features = cut(features.select("frame", "kp", "desc").filter("desc IS NOT NULL"))
-    sample = features.orderBy(F.xxhash64("frame", "kp")).limit(PIVOTS).select("desc").toArrow()
+    sizes = features.groupBy("frame").agg(F.least(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(PIVOTS)).cast("int").alias("parts"))
+    most = sizes.agg(F.max("parts")).first()[0] or 1
+    sample = features.orderBy(F.xxhash64("frame", "kp")).limit(most).select("desc").toArrow()
     pivots = _matrix(sample.column("desc").combine_chunks(), metric)
     spark = features.sparkSession
     between = distances(pivots, pivots, metric).astype(float)
     gaps = spark.createDataFrame([(i, j, float(between[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "ca int, cb int, gap double")
-    sizes = features.groupBy("frame").agg(F.least(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(max(1, len(pivots)))).cast("int").alias("parts"))
     kinds = ", ".join(f"{c} {features.schema[c].dataType.simpleString()}" for c in ("frame", "kp", "desc"))
     placed = cut(features.join(sizes, "frame").select("frame", "kp", "desc", "parts").mapInArrow(_assign(pivots, metric), f"{kinds}, cell int, far double"))
     subs = placed.groupBy("frame", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("subs"))

@@ -68,3 +68,8 @@ def test_descriptors_alike(spark):
 def test_unknown_metric(spark):
     with pytest.raises(ValueError):
         matching.two_nearest(spark.range(1), spark.range(1), "cosine")
+
+
+def test_no_features(spark):
+    none = spark.createDataFrame([], "frame int, kp long, desc array<double>")
+    assert matching.two_nearest(spark.createDataFrame([(0, 1)], "source_id int, target_id int"), none).count() == 0
