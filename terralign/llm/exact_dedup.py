@@ -10,7 +10,7 @@
 
 Null texts count as empty; empty texts equal one another. Of equal texts the largest doc_id stays; rows without doc_id
 stay only where the group has no other. Repeated rows (same id and text) are members of one group; `deduplicate` keeps
-one of them. Columns other than the named two may be anything: they are carried by position in a struct.
+the one whose other columns have the greatest hash, so that reruns agree however rows are partitioned. Columns other than the named two may be anything: they are carried by position in a struct.
 """
 
 from __future__ import annotations
@@ -158,7 +158,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = [f"c{i}" for i in range(len(docs.columns))]
     whole = F.struct(*(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(whole.alias("row"), text.alias("text"), F.col(id_col).alias("id"), F.xxhash64(text).alias("fp"))
-    best = _near(rows, found, n, layout, "left_semi").groupBy("fp", "text").agg(F.max_by("row", F.struct(F.col("id").isNotNull(), F.col("id"))).alias("row"))
+    others = F.struct(*(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True) if c != text_col))
+    last = F.struct(F.xxhash64(F.to_json(others)), F.col(text_col).isNull())  # as JSON, since maps have no hash of their own
+    rows = docs.select(whole.alias("row"), text.alias("text"), F.col(id_col).alias("id"), last.alias("last"), F.xxhash64(text).alias("fp"))
+    best = _near(rows, found, n, layout, "left_semi").groupBy("fp", "text").agg(F.max_by("row", F.struct(F.col("id").isNotNull(), F.col("id"), F.col("last"))).alias("row"))
     out = _near(rows, found, n, layout, "left_anti").select("row").unionByName(best.select("row"))
     return out.select(*(F.col(f"row.{k}").alias(c) for c, k in zip(docs.columns, names, strict=True)))

@@ -3,8 +3,9 @@
 A text's vector holds the character 1-, 2- and 3-grams of its lower-cased letters, runs of other characters counting as one
 space, hashed to DIMS places, as (1 + log count) * idf, scaled
 to length 1. Document frequencies cover all training rows. The centroids of a language come from spherical k-means over a
-sample of about SAMPLE of its training rows (a hash of the id decides, at a rate of SAMPLE / rows of the language): the
-bound of the fit. A prediction is the language of the centroid with the greatest cosine; it is marked rejected where the
+sample of about SAMPLE of its training rows (a hash of id and text decides, at a rate of SAMPLE / rows of the language): the
+bound of the fit. Rows that are alike in id and text are sampled as one, and rows without id, or that share one, by their texts,
+so the bound holds for any ids. A prediction is the language of the centroid with the greatest cosine; it is marked rejected where the
 cosine is below the 0.005 quantile of the centroid's own training members, less MARGIN.
 
 Null texts and texts without a letter are `und` with score 0, rejected. Training rows with null text, or null language, teach
@@ -65,7 +66,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _clusters(idf: np.ndarray):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([vector(t, idf) for t in pdf.sort_values("order")["text"]])
+        x = np.stack([vector(t, idf) for t in pdf.sort_values(["order", "text"])["text"]])
         mean = x.mean(0)
         at = [int((x @ mean).argmax())]
         while len(at) < min(CENTROIDS, len(x)):  # the row farthest from all chosen ones
@@ -85,6 +86,12 @@ def _clusters(idf: np.ndarray):
     return fit
 
 
+def sampled(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The distinct rows (order, lang, text) that the centroids are fitted to; copies of a row meet in the map-side combine."""
+    place = F.pmod(F.xxhash64("order", "text"), F.lit(1_000_000))
+    return texts.join(sizes, "lang").filter(place * F.col("__n") < SAMPLE * 1_000_000).select("order", "lang", "text").distinct()
+
+
 def train(texts: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray] | None:
     """From (order, lang, text): idf, and the languages, vectors and least cosines of the centroids."""
     texts = texts.filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -94,8 +101,7 @@ def train(texts: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarr
         return None
     idf = np.log((1 + rows) / (1 + np.array([found[k] for k in range(DIMS)]))) + 1
     sizes = F.broadcast(texts.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")))  # a row per language
-    place = F.pmod(F.xxhash64("order"), F.lit(1_000_000))
-    sample = texts.join(sizes, "lang").filter(place * F.col("__n") < SAMPLE * 1_000_000).select("order", "lang", "text")
+    sample = sampled(texts, sizes)
     fitted = sample.groupBy("lang").applyInPandas(_clusters(idf), "lang string, centroid binary, floor double").collect()
     fitted.sort(key=lambda r: r.lang)
     if not fitted:

@@ -42,3 +42,10 @@ def test_rice_round_trip():
         assert np.array_equal(exact_dedup.rice_decode(exact_dedup.rice_encode(values, low, shift)), values)
     layout = exact_dedup.Layout(10_000_000)
     assert layout.cuts()[-1] == 1 << layout.bits and len(layout.cuts()) == layout.owners + 1
+
+
+def test_of_rows_alike_in_id_and_text_the_same_one_stays(spark):
+    rows = [(i, "same", c, {"k": c}) for i in (1, None) for c in "abcdef"] + [(7, t, c, {}) for t in (None, "") for c in "xy"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, more map<string, string>")
+    kept = [sorted(map(str, exact_dedup.deduplicate(docs.repartition(n)).collect())) for n in (1, 2, 3, 5)]
+    assert len(kept[0]) == 2 and all(k == kept[0] for k in kept)

@@ -43,3 +43,13 @@ def test_held_out_accuracy_on_the_tables(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = [r for r in queries.op1_language_id(spark, sf).collect() if r.held_out and truth[r.doc_id]]
     assert len(rows) > 20 and sum(r.lang_pred == truth[r.doc_id] for r in rows) >= 0.95 * len(rows)
+
+
+def test_the_sample_is_bounded_for_any_ids(spark, monkeypatch):
+    """Null ids, one id for all, and copies of one row: none of them comes whole into the fit."""
+    monkeypatch.setattr(langid, "SAMPLE", 50)
+    texts = [(None, f"the other {i}", "en") for i in range(2000)] + [(7, f"under that {i}", "de") for i in range(2000)] + [(9, "les des", "fr")] * 2000
+    docs = spark.createDataFrame(texts, "order long, lang string, text string".replace("lang string, text", "text string, lang")).repartition(5)
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    n = {r.lang: r["count"] for r in langid.sampled(docs, sizes).groupBy("lang").count().collect()}
+    assert 20 <= n["en"] <= 100 and 20 <= n["de"] <= 100 and n.get("fr", 0) <= 1
