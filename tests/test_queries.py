@@ -1,3 +1,5 @@
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -31,6 +33,16 @@ def test_capped_graph_keeps_its_cap(spark):
     edges = catalog.queries()["capped_graph"](spark, SF).collect()
     pairs = [(r.source_id, r.target_id) for r in edges]
     assert len(pairs) == len(set(pairs)) and all(a < b for a, b in pairs)
+    degree = Counter(frame for pair in pairs for frame in pair)
+    assert max(degree.values()) <= 6 + 2  # the edges along a flight aren't capped
+
+
+def test_survey_queries_stand_without_a_library_of_the_text_operators(monkeypatch):
+    """Where a library is missing that only they need, the text operators are left out, and nothing else."""
+    missing = type("Missing", (), {"import_module": staticmethod(lambda name: (_ for _ in ()).throw(ModuleNotFoundError(name="public_tokenizers")))})
+    monkeypatch.setattr(__spark_entry__, "importlib", missing)
+    with pytest.warns(UserWarning, match="public_tokenizers is missing"):
+        assert __spark_entry__._optional("corpus_pipeline") is None
 
 
 def test_entry(spark):
