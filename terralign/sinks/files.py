@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,13 +15,44 @@ def _at(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_bytes(spark: SparkSession, path: str, data: bytes) -> int:
+def full_uri(spark: SparkSession, path: str) -> str:
+    """The path with its scheme and store."""
+    where, fs = _at(spark, path)
+    return fs.makeQualified(where).toString()
+
+
+def write_stream(spark: SparkSession, path: str, head: bytes, parts: Iterable[bytes]) -> int:
     where, fs = _at(spark, path)
-    out = fs.create(where, True)
-    for i in range(0, len(data), 1 << 22):
-        out.write(bytearray(data[i : i + (1 << 22)]))
+    out, n = fs.create(where, True), 0
+    for data in itertools.chain([head], parts):
+        for i in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[i : i + (1 << 22)]))
+        n += len(data)
     out.close()
-    return len(data)
+    return n
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> int:
+    return write_stream(spark, path, data, ())
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    where, fs = _at(spark, path)
+    fs.mkdirs(where)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    where, fs = _at(spark, path)
+    return fs.getFileStatus(where).getLen()
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a file to a name, in place of what has it."""
+    where, fs = _at(spark, path)
+    target, _ = _at(spark, to)
+    fs.delete(target, False)
+    if not fs.rename(where, target):
+        raise OSError(f"{path} can't be renamed to {to}")
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> int:

@@ -12,31 +12,42 @@ from pyspark.sql import functions as F
 
 from ..functions import frames as fr
 from ..functions import geo, pixels
+from ..sinks import files
+from . import headers
+from .stores import is_folder, reachable
 
 # Tag numbers of TIFF and EXIF directories, and the bytes of their value types.
 WIDTH, HEIGHT, MODEL, ORIENTATION, DATETIME, EXIF_IFD, GPS_IFD = 256, 257, 272, 274, 306, 34665, 34853
 ORIGINAL, FOCAL, FOCAL_35, PIXEL_X, PIXEL_Y = 36867, 37386, 41989, 40962, 40963
-TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8}
 #: What image files are called, in either case.
-NAMES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in ("jpg", "jpeg", "tif", "tiff", "png")) + "}"
+SUFFIXES = (".jpg", ".jpeg", ".tif", ".tiff", ".png")
+NAMES = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in SUFFIXES) + "}"
 META = (
     "lat_dms array<double>, lat_ref string, lon_dms array<double>, lon_ref string, gps_altitude double, gps_track double, focal_length double, focal_length_35mm double, camera_model string, timestamp string, "
     "orientation int, width int, height int, readable boolean"
 )
+META_STRUCT = f"struct<{META.replace(' ', ':').replace(',:', ',')}>"
 
 
-def _directory(tiff: bytes, order: str, at: int) -> dict[int, list]:
-    """The entries of one image file directory; entries that don't fit the file are left out."""
+def _unpack(kinds: str, content, at: int) -> tuple:
+    """struct.unpack_from, of bytes or of a file's ranges."""
+    return struct.unpack(kinds, content[at : at + struct.calcsize(kinds)])
+
+
+def _directory(tiff: bytes, order: str, at: int, big: bool = False) -> dict[int, list]:
+    """The entries of one image file directory; entries that don't fit the file are left out. `big` ones have 64-bit offsets."""
     found: dict[int, list] = {}
-    if at + 2 > len(tiff):
+    word, room, first, length = ("Q", 8, 8, "Q") if big else ("I", 4, 2, "H")
+    if at + first > len(tiff):
         return found
-    for i in range(struct.unpack_from(order + "H", tiff, at)[0]):
-        entry = at + 2 + 12 * i
-        if entry + 12 > len(tiff):
+    for i in range(_unpack(order + length, tiff, at)[0]):
+        entry = at + first + (4 + 2 * room) * i
+        if entry + 4 + 2 * room > len(tiff):
             break
-        tag, kind, count = struct.unpack_from(order + "HHI", tiff, entry)
+        tag, kind, count = _unpack(order + "HH" + word, tiff, entry)
         size = TYPE_SIZE.get(kind, 0) * count
-        place = entry + 8 if size <= 4 else struct.unpack_from(order + "I", tiff, entry + 8)[0]
+        place = entry + 4 + room if size <= room else _unpack(order + word, tiff, entry + 4 + room)[0]
         if not size or place + size > len(tiff):
             continue
         raw = tiff[place : place + size]
@@ -48,16 +59,16 @@ def _directory(tiff: bytes, order: str, at: int) -> dict[int, list]:
         elif kind in (1, 6, 7):
             found[tag] = list(raw)
         else:
-            found[tag] = list(struct.unpack(order + {3: "H", 4: "I", 8: "h", 9: "i", 11: "f", 12: "d"}[kind] * count, raw))
+            found[tag] = list(struct.unpack(order + {3: "H", 4: "I", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}[kind] * count, raw))
     return found
 
 
 def parse_tiff(tiff: bytes) -> dict[int, list] | None:
     """All entries of the first directory with those of its EXIF and GPS directories (GPS tags negative); None if it is none."""
     order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
-    if order is None or len(tiff) < 8 or struct.unpack_from(order + "H", tiff, 2)[0] != 42:
+    if order is None or len(tiff) < 8 or _unpack(order + "H", tiff, 2)[0] != 42:
         return None
-    tags = _directory(tiff, order, struct.unpack_from(order + "I", tiff, 4)[0])
+    tags = _directory(tiff, order, _unpack(order + "I", tiff, 4)[0])
     for pointer, sign in ((EXIF_IFD, 1), (GPS_IFD, -1)):
         if tags.get(pointer):
             tags |= {sign * t: v for t, v in _directory(tiff, order, tags[pointer][0]).items()}
@@ -70,18 +81,18 @@ def parse_image(content: bytes) -> dict:
     if content[:2] == b"\xff\xd8":
         at = 2
         while at + 4 <= len(content) and content[at] == 0xFF:
-            mark, length = content[at + 1], struct.unpack_from(">H", content, at + 2)[0]
+            mark, length = content[at + 1], _unpack(">H", content, at + 2)[0]
             if mark == 0xE1 and content[at + 4 : at + 10] == b"Exif\0\0" and not tags:
                 tags = parse_tiff(content[at + 10 : at + 2 + length]) or {}
             if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC) and at + 9 <= len(content):
-                size = struct.unpack_from(">HH", content, at + 5)[::-1]
+                size = _unpack(">HH", content, at + 5)[::-1]
             if mark == 0xDA:
                 break
             at += 2 + length
     elif content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
-        size, at = struct.unpack_from(">II", content, 16), 8
+        size, at = _unpack(">II", content, 16), 8
         while at + 8 <= len(content):
-            length, name = struct.unpack_from(">I", content, at)[0], content[at + 4 : at + 8]
+            length, name = _unpack(">I", content, at)[0], content[at + 4 : at + 8]
             if name == b"eXIf":
                 tags = parse_tiff(content[at + 8 : at + 8 + length]) or {}
             at += 12 + length
@@ -107,12 +118,21 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", NAMES).load(folder)
-        return files.filter(fr.is_image(F.col("path"))).select("path", "length", "content")
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", NAMES).load(folder)
+        return found.filter(fr.is_image(F.col("path"))).select("path", "length", "content")
     except AnalysisException:
         return spark.createDataFrame([], "path string, length long, content binary")
 
 
+def scan_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, meta, xmp, length) of the image files right in a folder: by ranges of the files where executors reach the store
+    and `folder` is one, by Spark's own reader of whole files, which knows no empty ones, elsewhere."""
+    uri = files.full_uri(spark, folder)
+    if reachable(uri) and not set("*?[{") & set(folder) and is_folder(uri):
+        return headers.read_headers(spark, uri).select("path", "meta", "xmp", "length")
+    return scan_files(spark, folder).mapInPandas(_parse, f"path string, meta {META_STRUCT}, xmp string, length long")
+
+
 def xmp_number(xmp: F.Column, name: str) -> F.Column:
     """A number that an XMP packet gives as an attribute."""
     return F.regexp_extract(xmp, name + r'="([+-]?\d+(?:\.\d+)?)"', 1).try_cast("double")
@@ -120,7 +140,7 @@ def xmp_number(xmp: F.Column, name: str) -> F.Column:
 
 def read_frames(spark: SparkSession, folder: str, coerce_refs: bool = False) -> DataFrame:
     """One row per image file with all facts and `reason` (null for accepted frames), in order of path when sorted by it."""
-    raw = scan_files(spark, folder).mapInPandas(_parse, f"path string, meta struct<{META.replace(' array', ':array').replace(' string', ':string').replace(' double', ':double').replace(' int', ':int').replace(' boolean', ':boolean')}>, xmp string, length long")
+    raw = scan_headers(spark, folder)
     m = lambda c: F.col(f"meta.{c}")
     ref = lambda c, ok, default: F.when(F.upper(F.trim(m(c))).isin(*ok), m(c)).otherwise(default) if coerce_refs else m(c)
     relative, yaw = xmp_number(F.col("xmp"), "RelativeAltitude"), xmp_number(F.col("xmp"), "FlightYawDegree")
