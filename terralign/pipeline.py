@@ -17,7 +17,7 @@ from .monitor import Monitor, RunSummary
 from .operators import compose, matching, mosaic, plan
 from .operators import poses as poses_of
 from .operators import render as rendering
-from .sinks import files, manifests, products, raster
+from .sinks import files, manifests, products, raster, writers
 from .sources import images
 from .sources.checkpoints import use_checkpoints
 
@@ -84,8 +84,8 @@ def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = N
         around = ends.select(lat.alias("lat"), lon.alias("lon")).agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
         at = {"left": left, "top": top, "pixel": ground, "width": box.width_px, "height": box.height_px, "epsg": corner.epsg, "tile": config.tile_size, "bounds": tuple(around)}
         block = min(512, config.tile_size)
-        level = products.level_from(tiles, box.width_px, box.height_px, config.tile_size, block)
-        summary.output_geotiff_bytes = files.write_bytes(spark, f"{out}/orthomosaic.tif", raster.assemble([level], corner.epsg, left, top, ground))
+        levels, where = [(tiles, box.width_px, box.height_px)], (corner.epsg, left, top, ground)
+        summary.output_geotiff_bytes = products.write_raster(levels, f"{out}/orthomosaic.tif", config.tile_size, block, *where)
         for event in events_of(tiles, f"{out}/orthomosaic.tif", summary.output_geotiff_bytes):
             if on_event:
                 on_event(event)
@@ -93,12 +93,12 @@ def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = N
         monitor.set_stage("export")
         manifest = {"run_id": summary.run_id, "dataset": summary.dataset_name, "crs": f"EPSG:{corner.epsg}", "bounds": [left, bottom, right, top], "bounds_wgs84": list(around), "width": box.width_px, "height": box.height_px, "gsd": ground, "geotiff": "orthomosaic.tif", "positions_wgs84": [positions.west, positions.south, positions.east, positions.north]}
         if config.generate_cog:
-            levels, small, factor = [level], tiles, 2
+            small, factor = tiles, 2
             while factor <= 16 and min(box.width_px, box.height_px) >= 2 * factor:
                 small = products.halved(small, config.tile_size).checkpoint()
-                levels.append(products.level_from(small, box.width_px // factor, box.height_px // factor, config.tile_size, min(256, config.tile_size)))
+                levels.append((small, box.width_px // factor, box.height_px // factor))
                 factor *= 2
-            summary.output_cog_bytes = files.write_bytes(spark, f"{out}/orthomosaic_cog.tif", raster.assemble(levels, corner.epsg, left, top, ground))
+            summary.output_cog_bytes = products.write_raster(levels, f"{out}/orthomosaic_cog.tif", config.tile_size, block, *where)
             manifest["cog"] = "orthomosaic_cog.tif"
         preview, w, h = tiles, box.width_px, box.height_px
         while max(w, h) > PREVIEW:
@@ -107,9 +107,8 @@ def run(spark: SparkSession, folder: str, out: str, config: RunConfig | None = N
         if config.generate_tiles:
             least, most = spark.range(1).select(*geo.zoom_range(F.lit(ground))).first()
             zooms = range(config.tile_min_zoom or least, (config.tile_max_zoom or most) + 1)
-            n = size = 0
-            for t in products.web_tiles(tiles, at, zooms).toLocalIterator():
-                n, size = n + 1, size + files.write_bytes(spark, f"{out}/tiles/{t.z}/{t.x}/{t.y}.png", bytes(t.png))
+            pictures = products.web_tiles(tiles, at, zooms).select(F.concat_ws("/", "z", "x", F.concat("y", F.lit(".png"))).alias("path"), F.col("png").alias("data"))
+            n, size = writers.write_files(pictures, f"{out}/tiles")
             files.write_json(spark, f"{out}/tiles/metadata.json", products.tile_json(summary.dataset_name, tuple(around), zooms))
             manifest["tiles"] = {"scheme": "xyz", "zoom_min": zooms[0], "zoom_max": zooms[-1], "tile_count": n, "tile_bytes": size}
 

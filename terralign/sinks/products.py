@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from . import raster
+from ..operators import ordered
+from . import files, raster, writers
 
 
 def coded_blocks(tiles: DataFrame, tile: int, block: int) -> DataFrame:
@@ -29,10 +31,25 @@ def coded_blocks(tiles: DataFrame, tile: int, block: int) -> DataFrame:
     return tiles.mapInPandas(emit, "y long, x long, data binary")
 
 
-def level_from(tiles: DataFrame, width: int, height: int, tile: int, block: int = 512) -> dict:
-    """A level for raster.assemble; coded blocks come to the driver in order, one at a time."""
-    rows = coded_blocks(tiles, tile, min(block, tile)).orderBy("y", "x").toLocalIterator(prefetchPartitions=True)
-    return {"width": width, "height": height, "bands": 4, "block": min(block, tile), "blocks": [bytes(r.data) for r in rows]}
+def write_raster(levels: list[tuple[DataFrame, int, int]], path: str, tile: int, block: int, epsg: int, left: float, top: float, pixel: float, big: bool | None = None) -> int:
+    """Writes levels (tiles, width, height), the first the image, as one TIFF of tiles, and gives its size.
+
+    Executors code the blocks and write them where a running sum over their sizes says. The driver writes the directories, for
+    which it holds a size for each block (some 4 bytes for 512 by 512 pixels), and no pixels.
+    """
+    spark, key = levels[0][0].sparkSession, ["level", "y", "x"]
+    coded = [coded_blocks(tiles, tile, block).withColumn("level", F.lit(i)) for i, (tiles, _, _) in enumerate(levels)]
+    blocks = ordered.dealt(reduce(DataFrame.unionByName, coded).withColumn("size", F.length("data").cast("long")), [], key)
+    sizes = blocks.select(*key, "size").toArrow().sort_by([(c, "ascending") for c in key])
+    of, size = sizes.column("level").to_numpy(), sizes.column("size").to_numpy()
+    facts = [{"width": w, "height": h, "bands": 4, "block": block, "counts": size[of == i].tolist()} for i, (_, w, h) in enumerate(levels)]
+    for x in facts:
+        if len(x["counts"]) != math.ceil(x["width"] / block) * math.ceil(x["height"] / block):
+            raise ValueError("the tiles don't cover the canvas once")
+    head = raster.header(facts, epsg, left, top, pixel, big=big)
+    placed = ordered.running(blocks, [], key, F.col("size"), "end").withColumn("at", F.col("end") - F.col("size") + len(head))
+    writers.write_blocks(placed, head, path, len(head) + int(size.sum()))
+    return files.size(spark, path)
 
 
 def halved(tiles: DataFrame, tile: int) -> DataFrame:

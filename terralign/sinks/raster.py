@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -29,55 +30,64 @@ def overview(pixels: np.ndarray) -> np.ndarray:
     return pixels[:h, :w].reshape(h // 2, 2, w // 2, 2, -1).mean((1, 3)).astype(np.uint8)
 
 
-def assemble(levels: list[dict], epsg: int, left: float, top: float, pixel: float, nodata: int = 0) -> bytes:
-    """A TIFF of coded levels (width, height, bands, block, blocks), the first the image, the others overviews of it.
+# The numbers of TIFF's value types.
+KINDS = {"s": 2, "H": 3, "I": 4, "d": 12, "Q": 16}
 
-    Directories come first and data after them, so that a reader finds all it needs at the start of the file.
+
+def _packed(rows: list[tuple[int, str, list]], at: int, following: int, big: bool) -> bytes:
+    """A directory of (tag, type, values) that stands at a place, and what of its values doesn't fit the entries."""
+    word, room = ("Q", 8) if big else ("I", 4)
+    head, tail = struct.pack("<Q" if big else "<H", len(rows)), b""
+    place = at + len(head) + (4 + 2 * room) * len(rows) + room
+    for tag, kind, values in sorted(rows):
+        raw = values[0] if kind == "s" else struct.pack(f"<{len(values)}{kind}", *values)
+        head += struct.pack("<HH" + word, tag, KINDS[kind], len(raw) if kind == "s" else len(values))
+        if len(raw) <= room:
+            head += raw.ljust(room, b"\0")
+        else:
+            head += struct.pack("<" + word, place + len(tail))
+            tail += raw + b"\0" * (len(raw) % 2)
+    return head + struct.pack("<" + word, following) + tail
+
+
+def header(levels: list[dict], epsg: int, left: float, top: float, pixel: float, nodata: int = 0, big: bool | None = None) -> bytes:
+    """All directories of a TIFF, behind which the coded blocks of its levels follow, level by level, in order of row and column.
+
+    A level is (width, height, bands, block, counts), the first the image, the others overviews of it; counts are the sizes of
+    its blocks. Offsets have 64 bits (BigTIFF) where the file is over 4 GB, or where `big` says so.
     """
     if not levels or pixel <= 0 or not epsg:
         raise ValueError("a raster needs a level, a pixel size and a coordinate system")
     geographic = epsg == 4326
     keys = [1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg]
+    data = sum(int(sum(x["counts"])) for x in levels)
 
-    def entries(level: dict, first: bool, factor: float, offsets: list[int]) -> list[tuple[int, str, list]]:
-        bands = level["bands"]
-        found = [(TAGS["subfile"], "I", [0 if first else 1]), (TAGS["width"], "I", [level["width"]]), (TAGS["height"], "I", [level["height"]]), (TAGS["bits"], "H", [8] * bands), (TAGS["compression"], "H", [8]), (TAGS["photometric"], "H", [2 if bands > 2 else 1])]
-        found += [(TAGS["samples"], "H", [bands]), (TAGS["planar"], "H", [1]), (TAGS["predictor"], "H", [2]), (TAGS["tile_width"], "H", [level["block"]]), (TAGS["tile_height"], "H", [level["block"]]), (TAGS["offsets"], "I", offsets), (TAGS["counts"], "I", [len(b) for b in level["blocks"]])]
+    def entries(level: dict, first: bool, offsets: list[int], big: bool) -> list[tuple[int, str, list]]:
+        bands, factor = level["bands"], levels[0]["width"] / level["width"]
+        rows = [(TAGS["subfile"], "I", [0 if first else 1]), (TAGS["width"], "I", [level["width"]]), (TAGS["height"], "I", [level["height"]]), (TAGS["bits"], "H", [8] * bands), (TAGS["compression"], "H", [8]), (TAGS["photometric"], "H", [2 if bands > 2 else 1])]
+        rows += [(TAGS["samples"], "H", [bands]), (TAGS["planar"], "H", [1]), (TAGS["predictor"], "H", [2]), (TAGS["tile_width"], "H", [level["block"]]), (TAGS["tile_height"], "H", [level["block"]]), (TAGS["offsets"], "Q" if big else "I", offsets), (TAGS["counts"], "I", level["counts"])]
         if bands in (2, 4):
-            found.append((TAGS["extra"], "H", [2]))
-        return [*found, (TAGS["scale"], "d", [pixel * factor, pixel * factor, 0.0]), (TAGS["tie"], "d", [0.0, 0.0, 0.0, left, top, 0.0]), (TAGS["keys"], "H", keys), (TAGS["nodata"], "s", [f"{nodata}\0".encode()])]
-
-    def directory(rows: list[tuple[int, str, list]], at: int, following: int) -> bytes:
-        head, tail = struct.pack("<H", len(rows)), b""
-        place = at + 2 + 12 * len(rows) + 4
-        for tag, kind, values in sorted(rows):
-            raw = values[0] if kind == "s" else struct.pack("<" + kind * len(values), *values)
-            number = {"H": 3, "I": 4, "d": 12, "s": 2}[kind]
-            count = len(raw) if kind == "s" else len(values)
-            if len(raw) <= 4:
-                head += struct.pack("<HHI", tag, number, count) + raw.ljust(4, b"\0")
-            else:
-                head += struct.pack("<HHII", tag, number, count, place + len(tail))
-                tail += raw + b"\0" * (len(raw) % 2)
-        return head + struct.pack("<I", following) + tail
-
-    factors = [levels[0]["width"] / x["width"] for x in levels]
-    sizes = [len(directory(entries(x, i == 0, factors[i], [0] * len(x["blocks"])), 0, 0)) for i, x in enumerate(levels)]
-    at, places = 8, []
-    for s in sizes:
-        places.append(at)
-        at += s
-    if at + sum(len(b) for x in levels for b in x["blocks"]) >= 1 << 32:
-        raise ValueError("the raster is over 4 GB; write it in several files")
-    out, data, offset = b"II*\0" + struct.pack("<I", 8), [], at
+            rows.append((TAGS["extra"], "H", [2]))
+        return [*rows, (TAGS["scale"], "d", [pixel * factor, pixel * factor, 0.0]), (TAGS["tie"], "d", [0.0, 0.0, 0.0, left, top, 0.0]), (TAGS["keys"], "H", keys), (TAGS["nodata"], "s", [f"{nodata}\0".encode()])]
+
+    for wide in (False, True) if big is None else (big,):
+        ends = list(itertools.accumulate((len(_packed(entries(x, not i, [0] * len(x["counts"]), wide), 0, 0, wide)) for i, x in enumerate(levels)), initial=16 if wide else 8))
+        if wide or ends[-1] + data < 1 << 32:
+            break
+    if not wide and ends[-1] + data >= 1 << 32:
+        raise ValueError("a raster over 4 GB needs offsets of 64 bits")
+    out, at = b"II+\0" + struct.pack("<HHQ", 8, 0, 16) if wide else b"II*\0" + struct.pack("<I", 8), ends[-1]
     for i, x in enumerate(levels):
-        offsets = []
-        for b in x["blocks"]:
-            offsets.append(offset)
-            offset += len(b)
-            data.append(b)
-        out += directory(entries(x, i == 0, factors[i], offsets), places[i], places[i + 1] if i + 1 < len(levels) else 0)
-    return out + b"".join(data)
+        offsets = list(itertools.accumulate(x["counts"], initial=at))
+        at = offsets.pop()
+        out += _packed(entries(x, not i, offsets, wide), ends[i], ends[i + 1] if i + 1 < len(levels) else 0, wide)
+    return out
+
+
+def assemble(levels: list[dict], epsg: int, left: float, top: float, pixel: float, nodata: int = 0, big: bool | None = None) -> bytes:
+    """A TIFF of coded levels (width, height, bands, block, blocks) that are held in memory, as one array's are."""
+    counted = [x | {"counts": [len(b) for b in x["blocks"]]} for x in levels]
+    return header(counted, epsg, left, top, pixel, nodata, big) + b"".join(b for x in levels for b in x["blocks"])
 
 
 def level_of(pixels: np.ndarray, block: int) -> dict:
@@ -106,11 +116,12 @@ def read_header(content: bytes) -> dict:
     """Width, height, bands, system, bounds, pixel size, nodata and the number of overviews of a TIFF."""
     from ..sources.images import _directory
 
-    at, levels = struct.unpack_from("<I", content, 4)[0], []
+    big = content[2:4] == b"+\0"
+    word, room, first = ("<Q", 20, 8) if big else ("<I", 12, 2)
+    at, levels = struct.unpack_from(word, content, 8 if big else 4)[0], []
     while at:
-        tags = _directory(content, "<", at)
-        levels.append(tags)
-        at = struct.unpack_from("<I", content, at + 2 + 12 * struct.unpack_from("<H", content, at)[0])[0]
+        levels.append(_directory(content, "<", at, big))
+        at = struct.unpack_from(word, content, at + first + room * struct.unpack_from("<Q" if big else "<H", content, at)[0])[0]
     t = levels[0]
     keys = t[TAGS["keys"]]
     systems = [keys[i + 3] for i in range(4, len(keys), 4) if keys[i] in (2048, 3072)]
