@@ -8,39 +8,65 @@ associative, and rounds grow with the logarithm of the depth. Frames that no mat
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import affine
-from ..sources.checkpoints import cut
+from ..sources.checkpoints import Scratch, cut
 
 RADIUS = 6_371_000.0
 
 
-def levels(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(g, node, level): how many edges (g, a, b) each node is from the start nodes (g, node) of its group, by joins repeated until no
-    node is new. Edges go both ways, so what a level leads to is in it, in the one before it, or new."""
-    both = cut(edges.select("g", "a", "b").unionByName(edges.select("g", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    edge = cut(start.select("g", "node", F.lit(0).alias("level")).distinct())
-    seen, before, level = edge, edge.limit(0), 0
+def reached(edges: DataFrame, start: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(g, node, level, parent, number): how many edges (g, a, b, number) each node is from the start nodes (g, node) of its group,
+    and its first edge (least number, then parent) from a node one level nearer, by joins repeated until no node is new.
+
+    Edges go both ways, so what a level leads to is in it, in the one before it, or new. They are laid out once by the node that
+    they start from, and a round only moves the level that it starts from: it reads the edges where they lie. With `known`
+    (g, node), others aren't passed through.
+    """
+    spark, keys = edges.sparkSession, ["g", "a"]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    both = edges.select(*keys, "b", "number").unionByName(edges.select("g", F.col("b").alias("a"), F.col("a").alias("b"), "number"))
+    if known is not None:
+        both = both.join(known.withColumnRenamed("node", "a"), keys, "left_semi")
+    # one number as key, which a round's scan looks up much faster than two columns; the columns are compared behind it
+    both = both.withColumn("h", F.xxhash64(*keys)).repartition(n, "h").sortWithinPartitions("h").persist(StorageLevel.MEMORY_AND_DISK)
+    scratch, level = Scratch(spark), 0
+    blank = {"level": F.lit(0), "parent": F.lit(None).cast(both.schema["a"].dataType), "number": F.lit(None).cast(both.schema["number"].dataType)}
+    edge = scratch.keep(start.select("g", "node").distinct().withColumns(blank))
+    seen, before = edge, edge.limit(0)
     while not edge.isEmpty():
         level += 1
-        step = edge.select("g", F.col("node").alias("a")).join(both, ["g", "a"]).select("g", F.col("b").alias("node")).distinct()
-        before, edge = edge, cut(step.join(before.unionByName(edge).select("g", "node"), ["g", "node"], "left_anti").withColumn("level", F.lit(level)))
+        ends = edge.select(F.xxhash64("g", "node").alias("h"), F.col("g").alias("own"), "node")
+        met = both.join(ends, "h").filter("g = own AND a = node").select("g", "a", "b", "number").groupBy("g", F.col("b").alias("node")).agg(F.min(F.struct("number", "a")).alias("best"))
+        new = met.join(before.unionByName(edge).select("g", "node"), ["g", "node"], "left_anti")
+        before, edge = edge, scratch.keep(new.select("g", "node", F.lit(level).alias("level"), F.col("best.a").alias("parent"), "best.number"))
         seen = seen.unionByName(edge)
         if level % 32 == 0:
-            seen = cut(seen)
+            seen = scratch.keep(seen)
+    seen = cut(seen if known is None else seen.join(known, ["g", "node"], "left_semi"))
+    both.unpersist()
+    scratch.close()
     return seen
 
 
-def forest(edges: DataFrame, level: DataFrame) -> DataFrame:
-    """(g, node, parent, m) of each node but the starts: its first edge (least `number`) to a node one level nearer.
+def levels(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(g, node, level): how many edges (g, a, b) each node is from the start nodes (g, node) of its group."""
+    return reached(edges.withColumn("number", F.lit(0)), start).select("g", "node", "level")
+
+
+def forest(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """(g, node, parent, m) of each node but the starts, by the edges that `reached` found.
 
-    edges have g, a, b, number and m, which leads from a node's own to its neighbour's coordinates when it goes from b to a.
+    edges have g, a, b, number and m, which takes a's coordinates to b's; m leads from a node's own to its parent's coordinates.
     """
-    at = lambda k: level.select("g", F.col("node").alias(k), F.col("level").alias(f"level_{k}"))
-    nearer = edges.join(at("a"), ["g", "a"]).join(at("b"), ["g", "b"]).filter("level_b = level_a + 1")
-    return nearer.groupBy("g", F.col("b").alias("node")).agg(F.min_by(F.struct("a", "m"), F.struct("number", "a")).alias("best")).select("g", "node", F.col("best.a").alias("parent"), F.col("best.m").alias("m"))
+    ends = lambda a, b: [F.least(a, b).alias("low"), F.greatest(a, b).alias("high")]
+    way = found.filter("parent IS NOT NULL").select("g", "number", *ends("node", "parent"), "node", "parent")
+    met = edges.select("g", "number", *ends("a", "b"), "a", "m").join(way, ["g", "number", "low", "high"])
+    up = met.select("g", "node", "parent", F.when(F.col("a") == F.col("node"), F.col("m")).otherwise(affine.inverse(F.col("m"))).alias("m"))
+    return up.groupBy("g", "node").agg(F.min(F.struct("parent", "m")).alias("one")).select("g", "node", "one.parent", "one.m")
 
 
 def composed(tree: DataFrame, start: DataFrame) -> DataFrame:
@@ -68,21 +94,17 @@ def place(frames: DataFrame, pairs: DataFrame, by: str, order: list[str], pixels
     """(by, frame_id, placed, matrix): 'visual' or 'gps', and the matrix to the coordinates of the survey's first frame.
 
     frames have by, frame_id, lat, lon and what order names; pairs have by, source_id, target_id, number (their order) and matrix,
-    which takes the source's coordinates to the target's. Pairs with an unknown frame or a singular matrix don't count. A frame
-    with neither a way to the reference nor a position is left out. Where the reference has no position, 0, 0 stands for it.
+    which takes the source's coordinates to the target's, and are read twice: first without matrices, then for
+    the chosen. Pairs with an unknown frame or a singular matrix don't count. A frame with neither a way to the reference nor a
+    position is left out. Where the reference has no position, 0, 0 stands for it.
     """
     frames = cut(frames.select(F.col(by).alias("g"), F.col("frame_id").alias("node"), "lat", "lon", F.struct(*order).alias("__order")))
     first = cut(frames.groupBy("g").agg(F.min_by(F.struct("node", "lat", "lon"), "__order").alias("f")).select("g", "f.*"))
     known = frames.select("g", "node")
     good = pairs.select(F.col(by).alias("g"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), "number", F.col("matrix").alias("m"))
     good = good.filter((F.abs(affine.determinant(F.col("m"))) > 1e-12) & (F.col("a") != F.col("b")))
-    for end in ("a", "b"):
-        good = good.join(known.select("g", F.col("node").alias(end)), ["g", end], "left_semi")
-    good = cut(good.select("g", "a", "b", "number", "m"))
-    ahead = good.withColumn("m", affine.inverse(F.col("m")))
-    back = good.select("g", F.col("b").alias("a"), F.col("a").alias("b"), "number", "m")
     start = first.select("g", "node")
-    tree = forest(ahead.unionByName(back), levels(good, start))
+    tree = forest(good, reached(good.drop("m"), start, known))
     seen = cut(composed(tree, start))
     rest = frames.join(seen.select("g", "node"), ["g", "node"], "left_anti").filter("lat IS NOT NULL AND lon IS NOT NULL")
     origin = first.select("g", F.coalesce("lat", F.lit(0.0)).alias("lat0"), F.coalesce("lon", F.lit(0.0)).alias("lon0"))

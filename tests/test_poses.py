@@ -137,3 +137,15 @@ def test_placement_equals_a_walk(spark, monkeypatch):
     assert {(r.s, r.frame_id): r.placed for r in got} == {k: v[0] for k, v in want.items()}
     assert all(np.allclose(np.reshape(r.matrix, (3, 3)), want[r.s, r.frame_id][1], atol=1e-6) for r in got)
     assert sum("moved" in c for c in rounds) <= 7  # a strip of sixty takes six doublings
+
+
+def test_levels_read_the_edges_where_they_lie(spark, monkeypatch):
+    """A round moves its own level only: the edges are cached by node, and no exchange takes them again."""
+    plans, keep = [], placement.Scratch.keep
+    monkeypatch.setattr(placement.Scratch, "keep", lambda self, df, *more: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(self, df, *more))[1])
+    edges = spark.createDataFrame([(0, i, i + 1, 9 - i) for i in range(6)] * 2 + [(0, 0, 50, 1), (0, 50, 5, 1)], "g int, a long, b long, number long")
+    known = spark.createDataFrame([(0, i) for i in range(7)], "g int, node long")
+    got = placement.reached(edges, spark.createDataFrame([(0, 0)], "g int, node long"), known).collect()
+    assert {(r.node, r.level, r.parent, r.number) for r in got} == {(0, 0, None, None)} | {(i, i, i - 1, 10 - i) for i in range(1, 7)}
+    rounds = [p for p in plans if "min(struct(number" in p]
+    assert len(rounds) >= 6 and all("InMemoryRelation" in p and "RepartitionByExpression" not in p.split("InMemoryRelation")[0] for p in rounds)
