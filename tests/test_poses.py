@@ -149,3 +149,28 @@ def test_levels_read_the_edges_where_they_lie(spark, monkeypatch):
     assert {(r.node, r.level, r.parent, r.number) for r in got} == {(0, 0, None, None)} | {(i, i, i - 1, 10 - i) for i in range(1, 7)}
     rounds = [p for p in plans if "min(struct(number" in p]
     assert len(rounds) >= 6 and all("InMemoryRelation" in p and "RepartitionByExpression" not in p.split("InMemoryRelation")[0] for p in rounds)
+
+
+def test_small_surveys_end_where_their_cluster_rests(spark, monkeypatch):
+    """Surveys of one cluster take no round, and tables that nothing reads again don't pile up."""
+    rounds, cg = [], poses.conjugate_gradients
+    monkeypatch.setattr(poses, "conjugate_gradients", lambda *a: (rounds.append(a[0].select("g").distinct().count()), cg(*a))[1])
+    frames, pairs = map(sum, zip(*(survey(f"s{k}", 3, 2, k) for k in range(3)), strict=True), ([], []))
+    got = poses.solve_poses(spark.createDataFrame(frames, FRAMES), spark.createDataFrame(pairs, PAIRS), 0.1, survey="survey").collect()
+    assert len(got) == 18 and not rounds
+
+
+def test_rounds_delete_what_nothing_reads_again(spark, monkeypatch):
+    """Two clusters, steps cut short: what lies in the shared folder doesn't grow with the steps."""
+    held, lies = set(), []
+    keep, delete, linearise = poses.Scratch.keep, poses.Scratch._delete, poses.linearise
+    monkeypatch.setattr(poses, "CLUSTER", 3)
+    monkeypatch.setattr(poses, "STEPS", 3)
+    monkeypatch.setattr(poses, "ROUNDS", 2)
+    monkeypatch.setattr(poses.Scratch, "keep", lambda self, *a: (lambda df: (held.add(df.scratch), df)[1])(keep(self, *a)))
+    monkeypatch.setattr(poses.Scratch, "_delete", lambda self, path: (held.discard(path), delete(self, path))[1])
+    monkeypatch.setattr(poses, "linearise", lambda *a: (lies.append(len(held)), linearise(*a))[1])
+    frames, pairs = survey("s", 3, 2, 1)
+    got = poses.solve_poses(spark.createDataFrame(frames, FRAMES), spark.createDataFrame(pairs, PAIRS), 0.1, survey="survey").collect()
+    assert len(got) == 6 and all(r.connected for r in got)
+    assert len(lies) >= 4 and lies[-1] <= lies[2] + 2
