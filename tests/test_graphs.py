@@ -82,3 +82,28 @@ def test_tight_clusters_keep_the_cap(spark):
     for r in plan.capped_graph(frames, ["t"], 500.0, 3, flight_order=False).collect():
         degree[[r.source_id, r.target_id]] += 1
     assert degree.max() == 3 and (degree == 3).sum() >= 56
+
+
+def test_groups_of_one_block_are_decided_in_one_step(spark, monkeypatch):
+    """Many small groups, among them a null one: one table is written, and what edges carry comes along."""
+    written, cut = [], greedy.cut
+    monkeypatch.setattr(greedy, "cut", lambda df: written.append(df) or cut(df))
+    rng = np.random.default_rng(3)
+    nodes, edges, want = [], [], set()
+    for g in [None, *range(40)]:
+        n = int(rng.integers(1, 9))
+        start = rng.integers(0, 3, n).tolist()
+        nodes += [(g, f"n{p}", p + 1, d) for p, d in enumerate(start)]
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+        for key, i in enumerate(rng.permutation(len(pairs)).tolist()):
+            a, b = pairs[i]
+            edges.append((g, f"n{a}", f"n{b}", key, a + 1, b + 1, float(i)))
+            if start[a] < 3 and start[b] < 3:
+                start[a], start[b] = start[a] + 1, start[b] + 1
+                want.add((g, f"n{a}", f"n{b}", float(i)))
+    of_nodes = spark.createDataFrame(nodes, "g int, u string, pu long, degree long")
+    of_edges = spark.createDataFrame(edges, "g int, u string, v string, key long, pu long, pv long, metres double")
+    got = greedy.capped(of_edges, of_nodes, 3).collect()
+    assert {(r.g, r.u, r.v, r.metres) for r in got} == want and len(got) == len(want)
+    assert len(written) == 1
+    assert greedy.capped(of_edges.limit(0), of_nodes, 3).count() == 0
