@@ -151,6 +151,31 @@ def test_levels_read_the_edges_where_they_lie(spark, monkeypatch):
     assert len(rounds) >= 6 and all("InMemoryRelation" in p and "RepartitionByExpression" not in p.split("InMemoryRelation")[0] for p in rounds)
 
 
+def test_levels_look_up_one_number(spark, monkeypatch):
+    """Edges are looked up by a hash alone, which a scan does several times as fast as by columns; few rows are broadcast to
+    them, many meet them where they lie. Ids may be of another type than the edges' ends. Either way the result is the same."""
+    edges = spark.createDataFrame([(0, i, i + 1, 9 - i) for i in range(6)] * 2 + [(1, 0, 3, 1), (0, 3, 8, 2)], "g long, a long, b long, number long")
+    start, found = spark.createDataFrame([(0, 0), (1, 3)], "g int, node int"), []
+    for few in (1 << 19, 1):
+        plans, keep = [], placement.Scratch.keep
+        with monkeypatch.context() as patch:
+            patch.setattr(placement, "FEW", few)
+            patch.setattr(placement.Scratch, "keep", lambda self, df, *more: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(self, df, *more))[1])  # noqa: B023
+            found.append({tuple(r) for r in placement.reached(edges, start).select("g", "node", "level", "parent", "number").collect()})
+        joins = [line for p in plans if "min(struct(number" in p for line in p.splitlines() if "HashJoin" in line and "Inner" in line]
+        assert len(joins) >= 6 and all(line.split("HashJoin")[1].split("]")[0].count("#") == 1 for line in joins)
+    want = {(0, 0, 0, None, None), (0, 8, 4, 3, 2), (1, 3, 0, None, None), (1, 0, 1, 3, 1)} | {(0, i, i, i - 1, 10 - i) for i in range(1, 7)}
+    assert found == [want, want]
+
+
+def test_chosen_edges_leave_singular_ones(spark):
+    """Two edges of one number between the same ends, of which one has no inverse."""
+    pairs = spark.createDataFrame([(0, 2, 1, [0.0] * 9, 1), (0, 2, 1, [1.0, 0.0, 5.0, 0.0, 1.0, 7.0, 0.0, 0.0, 1.0], 1)], "s int, source_id long, target_id long, matrix array<double>, number long")
+    frames = spark.createDataFrame([(0, 1, 1.0, 1.0), (0, 2, 1.0, 1.0)], "s int, frame_id int, lat double, lon double")
+    got = placement.place(frames, pairs, "s", ["frame_id"]).collect()
+    assert {(r.frame_id, r.placed, tuple(r.matrix)) for r in got} == {(1, "visual", affine.IDENTITY), (2, "visual", (1.0, 0, 5, 0, 1, 7, 0, 0, 1))}
+
+
 def test_small_surveys_end_where_their_cluster_rests(spark, monkeypatch):
     """Surveys of one cluster take no round, and tables that nothing reads again don't pile up."""
     rounds, cg = [], poses.conjugate_gradients
