@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,31 @@ def test_small_surveys_end_where_their_cluster_rests(spark, monkeypatch):
     assert len(got) == 18 and not rounds
 
 
+def test_clusters_rest_side_by_side(monkeypatch):
+    """One stream takes many clusters, whose equations are solved together and in parts; batches may end within a cluster, and
+    neither other clusters nor parts of other sizes change a cluster's poses."""
+    rows, nothing = [], dict.fromkeys(("f", "start", "s", "t", "m", "size", "weight"))
+    for g, (side, high) in {"a": (4, 3), "b": (2, 1), "c": (4, 3), "d": (5, 2)}.items():
+        frames, pairs = survey(g, side, high, side)
+        rows += [nothing | {"g": g, "c": 0, "kind": 0, "f": f, "start": [x / 0.1, -y / 0.1, yaw, 1.0]} for _, f, x, y, yaw, *_ in frames]
+        rows += [nothing | {"g": g, "c": 0, "kind": 1, "s": s, "t": t, "m": m, "size": [320.0, 240.0] * 2, "weight": w} for _, s, t, m, w, _ in pairs if (g, s) != ("d", "d4")]
+    lists = pa.list_(pa.float64())
+    kinds = pa.schema([("g", pa.string()), ("c", pa.int64()), ("kind", pa.int32()), ("f", pa.string()), ("start", lists), ("s", pa.string()), ("t", pa.string()), ("m", lists), ("size", lists), ("weight", pa.float64())])
+    calls, solve = [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: (calls.append(a.shape), solve(a, b))[1])
+
+    def settled(some, most):
+        table = pa.Table.from_pylist(some, schema=kinds)
+        out = pa.Table.from_batches(list(poses._settle(0.05)(iter(table.to_batches(max_chunksize=most)))))
+        assert all(out.column("rested").to_pylist())
+        return dict(zip(out.column("f").to_pylist(), out.column("p").to_pylist(), strict=True))
+
+    whole = settled(rows, 1000)
+    assert len(whole) == 36 and any(shape[0] > 1 for shape in calls)
+    for other in (settled(rows, 3), *(settled([r for r in rows if r["g"] == g], 1000) for g in "abcd")):
+        assert all(np.allclose(p, whole[f], atol=1e-5, rtol=0) for f, p in other.items())
+
+
 def test_rounds_delete_what_nothing_reads_again(spark, monkeypatch):
     """Two clusters, steps cut short: what lies in the shared folder doesn't grow with the steps."""
     held, lies = set(), []
